@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, license_scan, url_filter
+from . import embedding_dedup, exact_dedup, license_scan, mixing, packing, simhash, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,23 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_dedup(_table(spark, sf_dir, "embeddings"))
+
+
+def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_dedup(_table(spark, sf_dir, "documents"))
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = mixing.schedule(_table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return placed.select("row.doc_id", "source", "block", "slot", "release", "deadline", "position", "in_mix")
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(_table(spark, sf_dir, "pages"))
 
@@ -26,7 +43,11 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op7_url_filter, op8_license_scan)}
+    every = (
+        op2_exact_dedup, op3_embedding_dedup, op5_simhash_dedup, op6_source_mixing, op7_url_filter, op8_license_scan,
+        op10_best_fit_packing,
+    )
+    return {f.__name__: f for f in every}
 
 
 OP2_SQL = r"""
