@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, exact_dedup, license_scan, mixing, packing, simhash, url_filter
+from . import embedding_dedup, exact_dedup, license_scan, line_dedup, mixing, packing, simhash, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_classes(_table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -44,7 +48,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
-        op2_exact_dedup, op3_embedding_dedup, op5_simhash_dedup, op6_source_mixing, op7_url_filter, op8_license_scan,
+        op1_line_dedup, op2_exact_dedup, op3_embedding_dedup, op5_simhash_dedup, op6_source_mixing, op7_url_filter, op8_license_scan,
         op10_best_fit_packing,
     )
     return {f.__name__: f for f in every}
