@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, exact_dedup, license_scan, line_dedup, mixing, packing, simhash, url_filter
+from . import embedding_dedup, exact_dedup, license_scan, line_dedup, mixing, packing, quality, simhash, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_dedup(_table(spark, sf_dir, "embeddings"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_dedup(_table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,8 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
-        op1_line_dedup, op2_exact_dedup, op3_embedding_dedup, op5_simhash_dedup, op6_source_mixing, op7_url_filter, op8_license_scan,
+        op1_line_dedup, op2_exact_dedup, op3_embedding_dedup, op4_quality_classifier, op5_simhash_dedup,
+        op6_source_mixing, op7_url_filter, op8_license_scan,
         op10_best_fit_packing,
     )
     return {f.__name__: f for f in every}
