@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, exact_dedup, license_scan, line_dedup, mixing, packing, quality, simhash, url_filter
+from . import embedding_dedup, exact_dedup, license_scan, line_dedup, lm_score, mixing, packing, quality, simhash, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("row.doc_id", "source", "block", "slot", "release", "deadline", "position", "in_mix")
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_score(_table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_line_dedup, op2_exact_dedup, op3_embedding_dedup, op4_quality_classifier, op5_simhash_dedup,
-        op6_source_mixing, op7_url_filter, op8_license_scan,
+        op6_source_mixing, op7_url_filter, op8_license_scan, op9_lm_score,
         op10_best_fit_packing,
     )
     return {f.__name__: f for f in every}

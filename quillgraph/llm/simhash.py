@@ -123,3 +123,10 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.col("first.doc_id").alias("component_id"),
         (F.col("uid") == F.col("first.uid")).alias("kept"),
     )
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of ``docs``, one of each component. Rows that share an id are copies of one document: one of them stays."""
+    keep = simhash_dedup(docs, id_col, text_col, **how).where("kept").select(F.col("doc_id").alias("keep_")).distinct()
+    kept = docs.join(keep, col(id_col).eqNullSafe(F.col("keep_")), "left_semi")
+    return kept.dropDuplicates([id_col])
