@@ -75,8 +75,8 @@ def schedule(
     """row (the input's whole row), source, block, slot, release, deadline, position, in_mix: one row per input row.
 
     A null source is a source of its own. Sources that ``weights`` doesn't name, or gives no positive weight, are left out
-    of the schedule: slot, position and the like are null and in_mix is false. in_mix marks the slots before that of the
-    first block that a source can't fill any more: up to there every prefix keeps to the weights. ``position`` numbers
+    of the schedule: slot, position and the like are null and in_mix is false. in_mix marks the slots before the first for
+    which a source has no row left: up to there every prefix keeps to the weights. ``position`` numbers
     the places of the schedule; short last blocks leave gaps. Rows go in order of the hash of ``order_cols``; ties and
     repeated rows each have a place. At most a quarter as many sources as
     the period has slots can have a weight.
@@ -88,8 +88,8 @@ def schedule(
     if shares.count() > period // 4:
         raise ValueError(f"more than {period // 4} sources: raise the period with them")
     slots = materialise(one_period(shares, period), "period")
-    horizon = shares.select(  # the first slot whose block some source can't fill whole
-        "index", F.expr(f"n div {block}").alias("full"), "share"
+    horizon = shares.select(  # the first slot for which its source has nothing
+        "index", F.expr(f"(n + {block} - 1) div {block}").alias("full"), "share"
     ).join(F.broadcast(slots), "index").where("k = full % share").select((F.expr(f"full div share * {period}") + F.col("slot")).alias("slot"))
     horizon = materialise(horizon.agg(F.min("slot").alias("horizon")), "horizon")
     ranked = rank_within(
