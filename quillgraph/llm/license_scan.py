@@ -20,43 +20,31 @@ SPELLINGS = (
     ("https", "http"),
 )
 
-_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
-documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
-rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
-persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and
-this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED
-"AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
-MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS
-BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
-OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
-_ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
-granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS
-PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
-MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL
-DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT,
-NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
-#: (license id, text): whole licences and the notices that stand for them.
+#: (license id, text): the notices that stand for a licence.
 KNOWN = (
-    ("MIT", _MIT),
-    ("MIT", "MIT License\n" + _MIT),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
-    ("MIT", "This software is released under the MIT License."),
-    ("ISC", _ISC),
-    ("ISC", "ISC License\n" + _ISC),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("GPL-2.0-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("Proprietary", "All rights reserved."),
+    ("MIT", "This software is released under the MIT License."),
+)
+#: (license id, SHA-256 of the canonical form, its length): whole licences and the longer notices, by digest alone.
+DIGESTS = (
+    ("MIT", "14adafd3ad6d45fa26f6904ed0fb9360d7d4da778e2939ab123c80db4b1ea629", 987),
+    ("MIT", "0db200e69e7fe3d6fd97bb0cb85c7c1db18fdda1155e76d42b5f102bbb773983", 999),
+    ("ISC", "217da0747cec63a2e734185db11cbaa819bcd9e5b83cd12f812128fffe66e26a", 679),
+    ("ISC", "f172f90a892d869d5d840d5f4363218a9b21bdb1bd3925ba9c752d1660134fee", 691),
+    ("Apache-2.0", "7a46cf4a5d56898d746584f4fe57bdf571d600a8f39d21063431d88929f803c7", 501),
+    ("GPL-3.0-or-later", "66237b20dfaa335f5c003a3da64555538643deb65ca015c0d5fa588527312c4e", 233),
+    ("GPL-2.0-or-later", "a311bfb80ef013414e08cf2ea0128d424ffe3b22888612edd81cc8f04be43f8d", 233),
+    ("CC0-1.0", "5fdc67a97319cee15779f4827d4966575ba9be21109feadd1f9541fc40dcadcf", 115),
 )
 
 _COPYRIGHT = r"^(copyright (c |© ?)?[0-9]{4}|copyright (c|©) |(c |© ?)[0-9]{4})"
@@ -76,25 +64,27 @@ def canonical_lines(text: Column) -> Column:
     return F.filter(F.transform(lines, words), lambda x: (x != "") & ~F.concat(x, F.lit(" ")).rlike(_COPYRIGHT))
 
 
-def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
-    """(digest, license, n): as many rows as ``known`` at most, a constant of the program, so always safe to broadcast."""
-    rows = ", ".join("('{}', '{}')".format(*(x.replace("\\", "\\\\").replace("'", "\\'").replace("\n", " ") for x in pair)) for pair in known)
-    texts = spark.sql(f"SELECT * FROM VALUES {rows} AS t(license, text)")
+def known_digests(spark: SparkSession, known=KNOWN, digests=DIGESTS) -> DataFrame:
+    """(digest, license, n): as many rows as the two lists at most, a constant of the program, so always safe to broadcast."""
+    quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'").replace("\n", " ") + "'"
+    rows = [f"({quoted(k)}, {quoted(t)}, null, null)" for k, t in known] + [f"({quoted(k)}, null, {quoted(d)}, {n})" for k, d, n in digests]
+    texts = spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(license, text, digest, n)")
     whole = F.array_join(canonical_lines(F.col("text")), " ")
     return (
-        texts.select("license", whole.alias("w")).groupBy(F.sha2("w", 256).alias("digest"))
-        .agg(F.min("license").alias("license"), F.max(F.length("w")).alias("n"))
+        texts.select("license", whole.alias("w"), "digest", "n")
+        .groupBy(F.coalesce("digest", F.sha2("w", 256)).alias("digest"))
+        .agg(F.min("license").alias("license"), F.max(F.coalesce("n", F.length("w"))).alias("n"))
     )
 
 
-def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known=KNOWN) -> DataFrame:
+def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known=KNOWN, digests=DIGESTS) -> DataFrame:
     """One row per document: doc_id, text_license (the licence that the entire text is, or null), license_lines (lines
     that are an entire licence or notice), licenses (ids found in either way, sorted, comma-separated, or empty).
 
     Null and empty texts match nothing. Rows that repeat an id are told apart. Other columns are not read.
     """
-    digests = materialise(known_digests(docs.sparkSession, known), "licences")
-    low, high = digests.agg(F.min("n"), F.max("n")).first()
+    table = materialise(known_digests(docs.sparkSession, known, digests), "licences")
+    low, high = table.agg(F.min("n"), F.max("n")).first()
     fits = lambda x: F.length(x).between(low, high)  # noqa: E731 - no other length can have a known digest
     lines = docs.select(col(id_col).alias("doc_id"), canonical_lines(col(text_col)).alias("lines"))
     hits = materialise(
@@ -109,10 +99,10 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "candidates",
     )
     found = (
-        hits.select("uid", F.explode("line_digests").alias("digest")).join(F.broadcast(digests), "digest")
+        hits.select("uid", F.explode("line_digests").alias("digest")).join(F.broadcast(table), "digest")
         .groupBy("uid").agg(F.count(F.lit(1)).alias("k"), F.collect_set("license").alias("ids"))
     )
-    whole = digests.select(F.col("digest").alias("text_digest"), F.col("license").alias("text_license"))
+    whole = table.select(F.col("digest").alias("text_digest"), F.col("license").alias("text_license"))
     return (
         hits.select("doc_id", "uid", "text_digest").join(F.broadcast(whole), "text_digest", "left").join(found, "uid", "left")
         .select(

@@ -98,17 +98,19 @@ def _license_sql() -> str:
     words = "trim(replace(" + words + ", '  ', ' '))"
     canon = "CASE WHEN regexp_matches(w || ' ', " + quote(license_scan._COPYRIGHT) + ") THEN '' ELSE w END"
     known = ", ".join(f"({quote(k)}, {quote(t.replace(chr(10), ' '))})" for k, t in license_scan.KNOWN)
+    digests = ", ".join(f"({quote(k)}, {quote(d)})" for k, d, _ in license_scan.DIGESTS)
     return f"""
 WITH known AS (
-  SELECT DISTINCT license, {words.format("t")} AS canon FROM (VALUES {known}) AS v(license, t)),
+  SELECT DISTINCT license, sha256({words.format("t")}) AS digest FROM (VALUES {known}) AS v(license, t)
+  UNION SELECT * FROM (VALUES {digests}) AS v(license, digest)),
 lines AS (
   SELECT doc_id, i, {canon} AS line FROM (
     SELECT doc_id, i, {words.format("l")} AS w FROM (
       SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS l
       FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)))),
 whole AS (SELECT doc_id, string_agg(line, ' ' ORDER BY i) FILTER (line <> '') AS canon FROM lines GROUP BY doc_id),
-by_line AS (SELECT doc_id, license FROM lines JOIN known ON line = canon),
-by_text AS (SELECT doc_id, license FROM whole JOIN known USING (canon)),
+by_line AS (SELECT doc_id, license FROM lines JOIN known ON sha256(line) = digest),
+by_text AS (SELECT doc_id, license FROM whole JOIN known ON sha256(canon) = digest),
 ids AS (SELECT doc_id, string_agg(license, ',' ORDER BY license) AS licenses
         FROM (SELECT * FROM by_line UNION SELECT * FROM by_text) GROUP BY doc_id),
 n AS (SELECT doc_id, count(*) AS license_lines FROM by_line GROUP BY doc_id)
