@@ -9,15 +9,15 @@ if TYPE_CHECKING:
 
 #: Rule -> (what follows, from what).
 RULES = {
-    2: ("?y rdf:type ?x", "?a rdfs:domain ?x . ?y ?a ?z"),
-    3: ("?z rdf:type ?x", "?a rdfs:range ?x . ?y ?a ?z FILTER(!isLiteral(?z))"),
-    5: ("?x rdfs:subPropertyOf ?z", "?x rdfs:subPropertyOf ?y . ?y rdfs:subPropertyOf ?z"),
-    6: ("?x rdfs:subPropertyOf ?x", "?x rdf:type rdf:Property"),
-    7: ("?x ?b ?y", "?a rdfs:subPropertyOf ?b . ?x ?a ?y"),
-    8: ("?x rdfs:subClassOf rdfs:Resource", "?x rdf:type rdfs:Class"),
-    9: ("?z rdf:type ?y", "?x rdfs:subClassOf ?y . ?z rdf:type ?x"),
-    10: ("?x rdfs:subClassOf ?x", "?x rdf:type rdfs:Class"),
-    11: ("?x rdfs:subClassOf ?z", "?x rdfs:subClassOf ?y . ?y rdfs:subClassOf ?z"),
+    2: ("?s a ?class", "?s ?p ?o . ?p rdfs:domain ?class"),
+    3: ("?o a ?class", "?s ?p ?o . ?p rdfs:range ?class FILTER(!isLiteral(?o))"),
+    5: ("?p rdfs:subPropertyOf ?r", "?p rdfs:subPropertyOf ?q . ?q rdfs:subPropertyOf ?r"),
+    6: ("?p rdfs:subPropertyOf ?p", "?p a rdf:Property"),
+    7: ("?s ?q ?o", "?s ?p ?o . ?p rdfs:subPropertyOf ?q"),
+    8: ("?c rdfs:subClassOf rdfs:Resource", "?c a rdfs:Class"),
+    9: ("?s a ?d", "?s a ?c . ?c rdfs:subClassOf ?d"),
+    10: ("?c rdfs:subClassOf ?c", "?c a rdfs:Class"),
+    11: ("?c rdfs:subClassOf ?e", "?c rdfs:subClassOf ?d . ?d rdfs:subClassOf ?e"),
 }
 #: Steps in order; those marked repeat until nothing is new.
 ORDER = (((6,), False), ((5,), True), ((7,), False), ((2, 3, 8), False), ((10, 11), True), ((9,), False))

@@ -6,39 +6,39 @@ import pytest
 
 from quillgraph import IRI, Argument, BlankNode, GraphError, Model, Parameter, Prefix, Template, Triple, Variable, add_triples, generate_templates
 
-PIZZA = """@prefix pizza:<http://e/pizza#>. @prefix xsd:<http://www.w3.org/2001/XMLSchema#>. @prefix ex:<http://e/t#>.
-ex:Pizza[?p, xsd:anyURI ?c, List<ottr:IRI> ?is] :: {
-  ottr:Triple(?p, a, pizza:Pizza), ottr:Triple(?p, pizza:fromCountry, ?c), cross | ottr:Triple(?p, pizza:hasIngredient, ++?is) }."""
+MEALS = """@prefix m:<http://e/meal#>. @prefix xsd:<http://www.w3.org/2001/XMLSchema#>. @prefix ex:<http://e/t#>.
+ex:Meal[?meal, xsd:anyURI ?land, List<ottr:IRI> ?parts] :: {
+  cross | ottr:Triple(?meal, m:contains, ++?parts), ottr:Triple(?meal, m:eatenIn, ?land), ottr:Triple(?meal, a, m:Meal) }."""
 
 
 @pytest.fixture()
-def pizzas(spark):
+def meals(spark):
     m = Model(spark)
-    m.add_template(PIZZA)
-    p, i = "http://e/pizza#", "http://e/ing#"
-    m.map("ex:Pizza", spark.createDataFrame([(p + "Hawaiian", "http://e/CAN", [i + "Pineapple", i + "Ham"]), (p + "Grandiosa", "http://e/NOR", [i + "Pepper", i + "Meat"])], 'p string, c string, `is` array<string>'))
-    m.insert("PREFIX pizza:<http://e/pizza#> CONSTRUCT { ?p a pizza:HeterodoxPizza } WHERE { ?p a pizza:Pizza . ?p pizza:hasIngredient <http://e/ing#Pineapple> }")
+    m.add_template(MEALS)
+    p, i = "http://e/meal#", "http://e/part#"
+    m.map("ex:Meal", spark.createDataFrame([(p + "Soup", "http://e/FRA", [i + "Leek", i + "Salt"]), (p + "Stew", "http://e/IRL", [i + "Lamb", i + "Root"])], "meal string, land string, parts array<string>"))
+    m.insert("PREFIX m:<http://e/meal#> CONSTRUCT { ?x a m:Green } WHERE { ?x m:contains <http://e/part#Leek> ; a m:Meal }")
     return m
 
 
-def test_pizza_graph_and_updates(pizzas):
-    assert pizzas.size() == 9
-    pre = "PREFIX pizza:<http://e/pizza#> "
-    assert [r[0] for r in pizzas.query(pre + "SELECT ?p WHERE { ?p a pizza:HeterodoxPizza }").collect()] == ["<http://e/pizza#Hawaiian>"]
-    pizzas.update(pre + "DELETE { ?p a pizza:HeterodoxPizza } INSERT { ?p a pizza:UnorthodoxPizza } WHERE { ?p a pizza:HeterodoxPizza }")
-    assert pizzas.size() == 9
-    pizzas.update(pre + "INSERT { ?p pizza:old true } WHERE { ?p a pizza:Pizza }")
-    assert pizzas.size() == 11
-    pizzas.update("DELETE { ?a ?b ?c } WHERE { ?a ?b ?c }")
-    assert pizzas.size() == 0
+def test_meals_and_updates(meals):
+    assert meals.size() == 9
+    pre = "PREFIX m:<http://e/meal#> "
+    assert [r[0] for r in meals.query(pre + "SELECT ?x WHERE { ?x a m:Green }").collect()] == ["<http://e/meal#Soup>"]
+    meals.update(pre + "DELETE { ?x a m:Green } INSERT { ?x a m:Vegetable } WHERE { ?x a m:Green }")
+    assert meals.size() == 9
+    meals.update(pre + "INSERT { ?x m:old true } WHERE { ?x a m:Meal }")
+    assert meals.size() == 11
+    meals.update("DELETE { ?a ?b ?c } WHERE { ?a ?b ?c }")
+    assert meals.size() == 0
 
 
 def test_spec_syntax_is_read(spark):
     m = Model(spark)
     pre = "@prefix ex:<http://example.net/ns#>. @prefix p:<http://example.net/p#>. "
-    for text in ("[ ??pizza ]", "[ !?pizza ]", "[ ?!?pizza ]", "[ !??pizza ]", "[ owl:Class ?pizza ]", "[ ? owl:Class ?pizza ]", "[ ?! owl:Class ?pizza ]", "[ owl:Class ?pizza = p:pizza ]",
+    for text in ("[ ??x ]", "[ !?x ]", "[ ?!?x ]", "[ !??x ]", "[ owl:Class ?x ]", "[ ? owl:Class ?x ]", "[ ?! owl:Class ?x ]", "[ owl:Class ?x = p:x ]",
                  "[ List<xsd:string> ?l ]", "[ NEList<List<xsd:int>> ?l ]", "[ LUB<xsd:string> ?l ]", "[ ?x = (1, 2) ]", "[ ] @@ex:note(1)", "[ ?a, ?b ] :: BASE", "[ ?a ] :: { zipMax | ex:Other(++?a) }"):
-        m.add_template(pre + f"ex:NamedPizza {text} .")
+        m.add_template(pre + f"ex:Note {text} .")
     with pytest.raises(GraphError):
         m.add_template(":prefix ex:<http://example.net/ns#>. ex:T [?x] :: { ottr:Triple(ex:a, ex:b, ?x) } .")
 
