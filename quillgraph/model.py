@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import itertools
-import re
 from collections.abc import Callable, Iterable
 from pathlib import Path
 from typing import Any
@@ -11,7 +10,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalog import DEFAULT, DEFAULT_IRI, Catalog, Origin, Part, graph_name
+from .catalog import DEFAULT, Catalog, Origin, graph_name
 from .functions.expressions import UDF
 from .functions.values import read
 from .operators import relational as R
@@ -25,7 +24,7 @@ from .templates.ast import BASE, TRIPLE, Library, Parameter, Template, TemplateP
 from .templates.ast import Triple as triple_instance
 from .templates.expand import ROW, Rows, bind, check, expand, lists_to_rdf
 from .terms import (
-    BLANK_T, DEFAULT_PREFIXES, FX, IRI, IRI_T, LANGSTRING, OTTR, STRING, TYPE, UINT, XYZ, BlankNode, GraphError, Literal, Prefix, Solutions, Term, Variable,
+    BLANK_T, DEFAULT_PREFIXES, FX, IRI, IRI_T, LANGSTRING, OTTR, STRING, TYPE, UINT, XYZ, BlankNode, GraphError, Literal, Solutions, Term, Variable,
     is_literal, lexical, literal_type_of, native, term_column, term_type,
 )
 
@@ -61,15 +60,17 @@ class Model:
     def add_prefixes(self, prefixes: dict[str, str]) -> None:
         self.prefixes.update(prefixes)
 
-    def add_template(self, template: Template | str) -> None:
+    def add_template(self, template: Template | str) -> list[Template]:
+        """A template, or a document of them; returns those that were added."""
         if isinstance(template, Template):
             self.library.add(template)
-            return
+            return [template]
         templates, prefixes, _ = TemplateParser(template, dict(self.prefixes)).document()
         self.prefixes.update(prefixes)
         for t in templates:
             self.library.templates[t.iri.iri] = t
         self.library.infer()
+        return templates
 
     def read_template(self, path: str) -> None:
         self.add_template(Path(path).read_text(encoding="utf-8"))
@@ -81,9 +82,7 @@ class Model:
     def map(self, template: str | Template | IRI, df: DataFrame | None = None, graph: str | None = None, validate_iris: bool = True, types: dict[str, str] | None = None) -> None:
         """Expand a template over the rows of ``df``; its columns are the parameters' names."""
         if isinstance(template, str) and "::" in template and "{" in template:
-            before = set(self.library.templates)
-            self.add_template(template)
-            template = next(iter(set(self.library.templates) - before), re.match(r"[\s\S]*?([\w:<>/#.]+)\s*\[", template).group(1))
+            template = self.add_template(template)[0]
         if isinstance(template, Template):
             if template.iri.iri not in self.library.templates:
                 self.library.add(template)
@@ -548,6 +547,12 @@ class Model:
     def list_udfs(self) -> list[str]:
         return sorted(self.udfs)
 
+    def _absent(self, *_: Any, **__: Any) -> None:
+        raise NotImplementedError("this engine has no such component")
+
+    #: Names that only other editions of such engines fill: rules, shapes, explorers, industrial formats, external databases.
+    infer = validate = explore = write_cim_xml = map_opc_ua = add_virtualization = _absent
+
     def templates_to_graph(self, graph: str | None = None) -> None:
         """The templates as RDF in a flat vocabulary."""
         from .templates.as_rdf import template_quads
@@ -572,6 +577,3 @@ def _object(kind: str):
 def _text(source: str) -> str:
     head = source.lstrip()[:1]
     return source if head in "{[<\"" and head else Path(source).read_text(encoding="utf-8")
-
-
-__all__ = ["DEFAULT_IRI", "Model", "Part", "Prefix", "SolutionMappings", "add_triples"]

@@ -56,6 +56,14 @@ def test_nested_templates_defaults_and_optionals(spark):
     assert m.size() == 7
 
 
+def test_a_template_given_as_text(spark):
+    m = Model(spark)
+    m.map("@prefix ex:<http://e/> . ex:T [ottr:IRI ?s] :: { ottr:Triple(?s, a, ex:C) } .", spark.createDataFrame([("http://e/1",)], "s string"))
+    assert m.size() == 1
+    with pytest.raises(NotImplementedError):
+        m.validate()
+
+
 def test_zip_and_lists(spark):
     m = Model(spark)
     m.add_template("""@prefix ex:<http://e/> . @prefix xsd:<http://www.w3.org/2001/XMLSchema#> .
