@@ -71,6 +71,16 @@ SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
 FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
 
+OP3_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND list_cosine_similarity(x.e, y.e) >= 0.9),
+t(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT t.a, l.b FROM t JOIN l ON t.b = l.a),
+c AS (SELECT a, min(b) AS least FROM t GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least AS component_id, vec_id = least AS kept
+FROM v JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id
+"""
+
 OP7_SQL = r"""
 WITH rules(verdict, rhost, rpath) AS (VALUES
   ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
@@ -120,4 +130,4 @@ FROM documents LEFT JOIN by_text USING (doc_id) LEFT JOIN n USING (doc_id) LEFT
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op7_url_filter": OP7_SQL, "op8_license_scan": _license_sql()}
+    return {"op2_exact_dedup": OP2_SQL, "op3_embedding_dedup": OP3_SQL, "op7_url_filter": OP7_SQL, "op8_license_scan": _license_sql()}
