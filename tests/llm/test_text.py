@@ -237,7 +237,7 @@ def test_attention_gradients_and_windows():
 
 
 def test_lm_scores_match_brute_force_counts_and_beat_them(spark, monkeypatch):
-    monkeypatch.setattr(lm_score, "COMMON_WORDS", 6)
+    monkeypatch.setattr(lm_score.common_words, "__defaults__", (6,))
     r = random.Random(6)
     words = ["The", "small", "cat", "dog", "ran", "home", "again", "and", "Slept"]
     rows = [(i, " ".join(r.choice(words[k % 3 * 3 : k % 3 * 3 + 3]) for k in range(r.randint(3, 60))), 0) for i in range(150)]
