@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, materialise, release, with_row
+from .common import col, materialise, release, shuffle_partitions, with_row
 from .components import connected_components
 
 TAU = 2
@@ -25,7 +25,10 @@ FILTER_WORDS = 1 << 17
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     """doc_id, line_no (from 0), line, h1, h2 for the lines that are long enough; h1 and h2 make 128 bits of identity."""
-    reduced = F.regexp_replace(F.coalesce(col(text_col).cast("string"), F.lit("")), r"[\x20\x09\x0B-\x0D]+", " ")
+    reduced = F.coalesce(col(text_col).cast("string"), F.lit(""))
+    for white in "\t\x0b\x0c\r":
+        reduced = F.replace(reduced, F.lit(white), F.lit(" "))
+    reduced = F.when(reduced.contains("  "), F.regexp_replace(reduced, " {2,}", " ")).otherwise(reduced)
     lines = docs.select(col(id_col).alias("doc_id"), F.posexplode(F.split(reduced, "\n")).alias("line_no", "line"))
     lines = lines.withColumn("line", F.trim("line")).where(F.length("line") >= min_chars)
     return lines.select("doc_id", "line_no", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
@@ -35,9 +38,9 @@ def _place() -> Column:
     return F.struct(F.isnull("doc_id").alias("last"), "doc_id", "line_no")
 
 
-def _segment(i: int, length: Column, tau: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of segment i of a line; the last ones take what division leaves."""
-    base, rest = F.floor(length / (tau + 1)).cast("int"), length % (tau + 1)
+def _segment(i: int, less: int, tau: int) -> tuple[Column, Column]:
+    """Start (from 0) and length of segment i of a line that is ``less`` shorter; the last ones take what division leaves."""
+    base, rest = F.col(f"base{less}_"), F.col(f"rest{less}_")
     return base * i + F.greatest(F.lit(0), rest - (tau + 1 - i)), base + F.when(rest >= tau + 1 - i, 1).otherwise(0)
 
 
@@ -46,17 +49,16 @@ def _key(i: int, start: Column, size: Column, indexed: Column) -> Column:
 
 
 def segment_keys(tau: int) -> list[Column]:
-    n = F.length("line")
-    return [_key(i, *_segment(i, n, tau), n) for i in range(tau + 1)]
+    return [_key(i, *_segment(i, 0, tau), F.col("n_")) for i in range(tau + 1)]
 
 
 def probe_keys(tau: int) -> list[Column]:
     """Keys of the substrings that may be segment i of a line that is ``less`` shorter. Its own segments are not among
     them. With i edits at most left of a segment, and tau - i right of it, its place can shift by no more."""
-    n, keys = F.length("line"), []
+    n, keys = F.col("n_"), []
     for less in range(tau + 1):
         for i in range(tau + 1):
-            start, size = _segment(i, n - less, tau)
+            start, size = _segment(i, less, tau)
             for shift in range(max(-i, less - (tau - i)), min(i, less + tau - i) + 1):
                 if less or shift:
                     at = start + shift
@@ -71,7 +73,7 @@ def edit_distance(short: str, long: str, tau: int) -> Column:
     (vn), packed with the distance d so far along the diagonal that ends in the last cell.
     """
     w, k = 2 * tau + 1, tau
-    mask, extra = (1 << w) - 1, f"(length({long}) - length({short}))"
+    mask, extra = (1 << w) - 1, "x.e"
     pad = ", ".join(["''"] * (2 * tau))
     equal = " + ".join(f"if(x.p[j + {i - 1}] = x.c[j - 1], {1 << i}, 0)" for i in range(w))
     vp, vn = f"(s & {mask})", f"(shiftright(s, {w}) & {mask})"
@@ -85,27 +87,36 @@ def edit_distance(short: str, long: str, tau: int) -> Column:
     """
     chars = lambda x: f"filter(split({x}, ''), x -> x <> '')"
     blank = ", ".join(["''"] * k)
-    padded = f"struct(concat(array({blank}), {chars(short)}, array({pad})) as p, {chars(long)} as c)"
+    padded = f"struct(concat(array({blank}), {chars(short)}, array({pad})) as p, {chars(long)} as c, length({long}) - length({short}) as e)"
     return F.expr(f"transform(array({padded}), x -> {fold})[0]")
 
 
+def alike(short: str, long: str, tau: int, letters: str = " etaoinsrh") -> Column:
+    """True for any pair within ``tau`` edits: as an edit changes the counts of two letters at most, counts differ by no more
+    than 2 tau in all."""
+    count = lambda c, x: F.length(c) - F.length(F.replace(F.col(c), F.lit(x), F.lit("")))
+    apart = F.lit(0)
+    for x in letters:
+        apart = apart + F.abs(count(short, x) - count(long, x))
+    return apart <= 2 * tau
+
+
 def near_lines(lines: DataFrame, distinct: DataFrame, tau: int) -> DataFrame:
     """Links (a, b) between the line numbers ``nid`` of ``distinct`` whose lines are within ``tau`` edits."""
     total = distinct.agg(F.sum("n")).first()[0] or 0
     heavy = distinct.where(F.col("n") >= max(2, total / HEAVY)).select("h1", "h2", "first")
-    once = (
-        lines.join(F.broadcast(heavy), ["h1", "h2"], "left")
-        .where(F.isnull("first") | (F.col("first") == _place())).select("h1", "line")
+    n = F.length("line")
+    lengths = {"n_": n} | {f"base{k}_": F.floor((n - k) / (tau + 1)).cast("int") for k in range(tau + 1)} | {f"rest{k}_": F.pmod(n - k, F.lit(tau + 1)) for k in range(tau + 1)}
+    once = (  # lengths are taken below the join, so that they are taken once
+        lines.select("doc_id", "line_no", "h1", "h2", "line", *[c.alias(k) for k, c in lengths.items()]).join(F.broadcast(heavy), ["h1", "h2"], "left")
+        .where(F.isnull("first") | (F.col("first") == _place())).select("h1", "line", *lengths)
     )
-    index = once.select(F.col("h1").alias("a"), F.explode(F.array(*segment_keys(tau))).alias("key"))
-    probes = once.select(
-        F.col("h1").alias("b"),
-        F.explode(F.array(*[F.struct(k.alias("key"), F.lit(own).alias("own")) for own, ks in ((True, segment_keys(tau)), (False, probe_keys(tau))) for k in ks])).alias("x"),
-    ).select("b", "x.key", "x.own").where("key IS NOT NULL")
-    # lines that occur a few times are still there a few times: after the shuffle by key, without another
-    index = index.repartition("key").dropDuplicates(["key", "a"])
-    probes = probes.repartition("key").dropDuplicates(["key", "b", "own"])
-    met = index.join(probes, "key").where("a <> b AND (NOT own OR a < b)")
+    keyed = lambda name, keys: once.select(F.col("h1").alias(name), F.explode(F.array(*keys)).alias("key")).where("key IS NOT NULL").repartition("key")
+    # lines that occur a few times are still there a few times: made one after the shuffle by key, without another
+    index = keyed("a", segment_keys(tau)).dropDuplicates(["key", "a"])
+    probes = keyed("b", probe_keys(tau)).dropDuplicates(["key", "b"])
+    same = index.join(index.withColumnRenamed("a", "b"), "key").where("a < b")
+    met = same.unionByName(index.join(probes, "key").where("a <> b"))
     pairs = materialise(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
 
     ids = pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct()
@@ -114,7 +125,7 @@ def near_lines(lines: DataFrame, distinct: DataFrame, tau: int) -> DataFrame:
     texts = materialise(
         lines.withColumn("word", word).join(F.broadcast(marks), "word")
         .where(F.expr("shiftright(bits, cast(h1 & 63 as int)) & 1 = 1"))
-        .select("h1", "h2", "line").join(ids, "h1", "left_semi")
+        .select("h1", "h2", "line").join(ids, "h1")  # no semi-join: that would be moved below the filter
         .groupBy("h1", "h2").agg(F.first("line").alias("line")),
         "texts",
     )
@@ -126,7 +137,9 @@ def near_lines(lines: DataFrame, distinct: DataFrame, tau: int) -> DataFrame:
         F.when(flip, F.col("b_line")).otherwise(F.col("a_line")).alias("short"),
         F.when(flip, F.col("a_line")).otherwise(F.col("b_line")).alias("long"),
     )
-    linked = both.where(F.length("long") - F.length("short") <= tau).where(edit_distance("short", "long", tau) <= tau)
+    # few bytes, much work: an even share for every task. The distance is generated, so the test stays behind the shuffle.
+    both = both.where((F.length("long") - F.length("short") <= tau) & alike("short", "long", tau)).repartition(2 * shuffle_partitions(both.sparkSession))
+    linked = both.select("a", "a2", "b", "b2", F.explode(F.array(edit_distance("short", "long", tau))).alias("d")).where(F.col("d") <= tau)
     at = lambda c, to: distinct.select(F.col("h1").alias(c), F.col("h2").alias(c + "2"), F.col("nid").alias(to))
     links = materialise(linked.select("a", "a2", "b", "b2").join(at("a", "x"), ["a", "a2"]).join(at("b", "y"), ["b", "b2"]).select("x", "y"), "near")
     release(pairs, marks, texts)
@@ -142,6 +155,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     read. Classes are those connected by links of ``tau`` edits or fewer, over all documents and within them.
     """
     lines = lines_of(docs, id_col, text_col, min_chars)
+    lines = materialise(lines, "lines")
     distinct = materialise(
         lines.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n"))
         .withColumn("nid", F.monotonically_increasing_id()),
