@@ -8,6 +8,7 @@ the square of the corpus: only pairs that agree in two of five bit blocks (as an
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -25,20 +26,29 @@ SHINGLE = 3
 MAX_BITS = 3
 PIVOTS = 32
 SEED = 42
+#: Minhash buckets of ``keep_similar``: two sets at similarity 0.8 share none of 32 with probability (1 - 0.8^4)^32 = 5e-8.
+BANDS, ROWS = 32, 4
+#: Pairs at the wanted similarity that the bit radius may miss; below SMALL shingles bits are not yet near the limit it assumes.
+MISSED, SMALL = 1e-6, 64
 
 
-def fingerprint(text: str | None, size: int = SHINGLE) -> int:
-    """64-bit SimHash of the word shingles, repeats included; zero where there are no words."""
+def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """The hash of each word shingle, repeats included; a shorter text is one shingle."""
     words = (text or "").encode().lower().split()  # of bytes: A-Z only, and \x20 \x09-\x0D only
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(words) - size + 1)
     last = ends[size - 1 :] if len(words) >= size else ends[-1:]
     h = xxhash.xxh64_intdigest
-    hashes = np.fromiter((h(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist())), np.uint64, n)
+    return np.fromiter((h(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist())), np.uint64, n)
+
+
+def fold(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
+    n = len(hashes)
     ones = np.zeros(64, np.int64)
     for at in range(0, n, 65536):  # a very long text's bits, some at a time
         bits = np.unpackbits(hashes[at : at + 65536].view(np.uint8), bitorder="little")
@@ -46,6 +56,11 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, size: int = SHINGLE) -> int:
+    """64-bit SimHash of the word shingles, repeats included; zero where there are no words."""
+    return fold(shingles(text, size))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     """doc_id, fp (the 64 bits as a long)."""
     source = docs.select(col(id_col).alias("doc_id"), col(text_col).cast("string").alias("text"))
@@ -130,3 +145,110 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keep = simhash_dedup(docs, id_col, text_col, **how).where("kept").select(F.col("doc_id").alias("keep_")).distinct()
     kept = docs.join(keep, col(id_col).eqNullSafe(F.col("keep_")), "left_semi")
     return kept.dropDuplicates([id_col])
+
+
+def radius(similarity: float, missed: float = MISSED) -> int:
+    """Bits within which all but ``missed`` of the pairs at this Jaccard similarity lie.
+
+    Sets at similarity J have a cosine of at least 2J / (1 + J); each bit differs with probability angle / pi.
+    """
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    tail = 1.0
+    for r in range(64):
+        tail -= math.comb(64, r) * p**r * (1 - p) ** (64 - r)
+        if tail <= missed:
+            return r
+    return 64
+
+
+def _minhashes(sets: np.ndarray) -> np.ndarray:
+    """A hash per band, of its ROWS minima."""
+    r = np.random.default_rng(SEED)
+    a, b = (r.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64) for _ in range(2))
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for at in range(0, len(sets), 1024):  # what is made at a time stays in the processor's cache
+        least = np.minimum(least, (np.multiply.outer(a | np.uint64(1), sets[at : at + 1024]) + b[:, None]).min(1))
+    rows = least.reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), i) for i, x in enumerate(rows)], np.uint64)
+
+
+def _digest(sets: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(sets.tobytes(), SEED)
+
+
+def similar(docs: DataFrame, distinct: DataFrame, similarity: float, size: int) -> DataFrame:
+    """Links (a, b) between the digests of shingle sets whose Jaccard similarity is ``similarity`` or more.
+
+    Candidates share a minhash bucket and have sizes that allow the similarity; the pivot table and the fingerprints discard
+    those beyond ``radius``; what is left is compared shingle by shingle.
+    """
+    bits = radius(similarity)
+    rows = bucketed(distinct.select("digest", "fp", "n", F.explode("bands").alias("bucket")), "digest")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_runs(batches, "key_"):
+            digest, n = table.column("digest").to_numpy(), table.column("n").to_numpy()
+            fps = table.column("fp").to_numpy().view(np.uint64)
+            coordinates = pivot_table(fps)
+            for i, j in run_pairs(*(table.column(c).to_numpy() for c in ("key_", "block_", "split_"))):
+                fits = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j])
+                i, j = i[fits], j[fits]
+                small = np.minimum(n[i], n[j]) < SMALL
+                near = np.ones(len(i), bool)
+                for c in coordinates:
+                    near &= np.abs(c[i] - c[j]) <= bits
+                near &= np.bitwise_count(fps[i] ^ fps[j]) <= bits
+                i, j = i[near | small], j[near | small]
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(digest[i], digest[j])), pa.array(np.maximum(digest[i], digest[j]))], ["a", "b"])
+
+    pairs = materialise(per_run(rows.select("digest", "fp", "n", "key_", "block_", "split_"), work, "a long, b long").distinct(), "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
+    ids = distinct.join(wanted, "digest", "left_semi").select(F.col("first.doc_id").alias("wanted_"))
+    texts = docs.join(ids.distinct(), docs["doc_id"].eqNullSafe(F.col("wanted_")), "left_semi").select("text")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                s = np.unique(shingles(text.as_py(), size))
+                yield pa.RecordBatch.from_arrays([pa.array([_digest(s)], pa.uint64()).view(pa.int64()), pa.array([s.view(np.int64)], pa.list_(pa.int64()))], ["digest", "s"])
+
+    found = texts.mapInArrow(sets, "digest long, s array<long>").join(wanted, "digest", "left_semi").groupBy("digest").agg(F.first("s").alias("s"))
+    found = materialise(found, "sets")
+    side = lambda x: found.select(F.col("digest").alias(x), F.col("s").alias("s" + x))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long")
+
+
+def keep_similar(docs: DataFrame, similarity: float, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, one of each component of documents whose sets of word shingles link at Jaccard ``similarity``.
+
+    The smallest id stays, null last; texts without words are alike. Rows that share an id are copies of one document.
+    """
+    source = docs.select(col(id_col).alias("doc_id"), col(text_col).cast("string").alias("text"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingles(t.as_py(), size)) for t in batch.column(1)]
+            longs = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            bands = pa.array([_minhashes(s).view(np.int64) if len(s) else [] for s in sets], pa.list_(pa.int64()))
+            columns = [batch.column(0), longs([_digest(s) for s in sets]), longs([fold(s) for s in sets]), pa.array([len(s) for s in sets], pa.int64()), bands]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "fp", "n", "bands"])
+
+    kind = source.schema["doc_id"].dataType.simpleString()
+    sketches = source.mapInArrow(work, f"doc_id {kind}, digest long, fp long, n long, bands array<long>")
+    first = F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id")).alias("first")
+    distinct = materialise(sketches.groupBy("digest").agg(first, *[F.first(c).alias(c) for c in ("fp", "n", "bands")]), "sketches")
+    labels = connected_components(similar(source, distinct, similarity, size)).select(F.col("node").alias("digest"), F.col("component_id").alias("root"))
+    rooted = distinct.join(labels, "digest", "left").select(F.coalesce("root", "digest").alias("root"), "first")
+    keep = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("keep_")).distinct()
+    return docs.join(keep, col(id_col).eqNullSafe(F.col("keep_")), "left_semi").dropDuplicates([id_col])
