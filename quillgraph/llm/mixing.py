@@ -116,3 +116,11 @@ def schedule(
 def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, **how) -> DataFrame:
     """The rows of ``docs`` that keep to the target weights, in the order of the schedule, with the columns of ``docs``."""
     return schedule(docs, weights, **how).where("in_mix").orderBy("position").select("row.*")
+
+
+def mix_all(docs: DataFrame, weights: Mapping[str | None, float] | None = None, **how) -> DataFrame:
+    """Every row of ``docs`` whose source has a weight, in the order of the schedule, with the columns of ``docs``.
+
+    Once a source has no row left, its slots are passed over: the others go on in the proportion of their weights.
+    """
+    return schedule(docs, weights, **how).where("slot IS NOT NULL").orderBy("position").select("row.*")
