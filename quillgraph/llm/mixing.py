@@ -2,8 +2,8 @@
 
 Each source is cut into blocks. With weight w, its k-th block (from 0) is released at slot floor(k / w) and due by
 ceil((k + 1) / w); in every slot the released block with the earliest deadline goes. At every slot each source is then
-less than one block from its share. Weights are whole numbers of a period, over which releases and deadlines repeat, so
-only one period is ever scheduled, and its length depends on the number of sources, not on the rows.
+less than one block from its share. Weights are whole numbers of a period, over which releases and deadlines repeat. The
+period has at least as many slots as the table has blocks, so that rounding moves no source by a block in all of them.
 """
 
 from __future__ import annotations
@@ -17,8 +17,10 @@ from pyspark.sql.window import Window
 from .common import col, materialise, rank_within, with_row
 
 BLOCK = 16
-#: Slots of a period: weights are rounded to 1/PERIOD, none below it.
+#: Periods are multiples of so many slots, which the fold over a period also takes at a time.
 PERIOD = 1024
+#: The slots of longer periods are joined, not broadcast.
+BROADCAST_SLOTS = 1 << 17
 #: Where no weights are given, a source's target is its number of rows to this power, which raises small sources.
 TEMPER = 0.9
 
@@ -32,30 +34,40 @@ def target_shares(counts: DataFrame, weights: Mapping[str | None, float] | None,
         named = counts.sparkSession.range(1).select(F.explode(values).alias("x")).select("x.*").where("w > 0")
         wanted = counts.join(F.broadcast(named), counts["source"].eqNullSafe(named["source"])).drop(named["source"])
     every = Window.partitionBy()
-    spare = wanted.withColumn("exact", F.col("w") / F.sum("w").over(every) * (F.lit(period) - F.count(F.lit(1)).over(every)))
-    spare = spare.withColumn("base", F.floor("exact") + 1)
-    by_rest = Window.orderBy(F.desc(F.col("exact") - F.floor("exact")), "source")
+    rare = F.col("w") / F.sum("w").over(every) * period < 1  # these have one each, the others share the rest
+    wanted = wanted.withColumn("rare", rare)
+    others = F.when(F.col("rare"), 0.0).otherwise(F.col("w"))
+    slots = F.lit(period) - F.sum(F.col("rare").cast("int")).over(every)
+    spare = wanted.withColumn("exact", F.when(F.col("rare"), 1.0).otherwise(others / F.sum(others).over(every) * slots))
+    spare = spare.withColumn("base", F.greatest(F.lit(1), F.floor("exact")))
+    by_rest = Window.orderBy(F.desc(F.col("exact") - F.col("base")), "source")
     missing = F.lit(period) - F.sum("base").over(every)
+    largest = F.row_number().over(Window.orderBy(F.desc("exact"), "source")) == 1  # gives what others, raised to 1, took
     return spare.select(
         "source", "n",
         (F.row_number().over(Window.orderBy("source")) - 1).alias("index"),
-        (F.col("base") + F.when(F.row_number().over(by_rest) <= missing, 1).otherwise(0)).cast("int").alias("share"),
+        (F.col("base") + F.when(F.row_number().over(by_rest) <= missing, 1).otherwise(0) + F.when(largest, F.least(missing, F.lit(0))).otherwise(0))
+        .cast("int").alias("share"),
     )
 
 
 def one_period(shares: DataFrame, period: int) -> DataFrame:
-    """(index, k, slot, release, deadline) for the blocks of one period; one row of arrays, folded slot by slot."""
+    """(index, k, slot, release, deadline) for the blocks of one period; one row of arrays, folded slot by slot, PERIOD slots at a
+    time, so that only short arrays are copied."""
     choice = f"""array_min(transform(sequence(0, size(shares) - 1), i ->
         if(acc.done[i] < shares[i] AND (acc.done[i] * {period}) div shares[i] <= t,
            named_struct('due', ((acc.done[i] + 1) * {period} + shares[i] - 1) div shares[i], 'i', i), null))).i"""
-    fold = f"""aggregate(sequence(0, {period} - 1),
-        named_struct('done', transform(shares, x -> cast(0 as bigint)), 'order', cast(array() as array<int>)),
-        (acc, t) -> transform(array({choice}), c -> named_struct(
-            'done', transform(acc.done, (n, i) -> n + if(i = c, 1, 0)), 'order', concat(acc.order, array(c))))[0]).order"""
+    part = f"""aggregate(sequence(c * {PERIOD}, least((c + 1) * {PERIOD}, {period}) - 1),
+        named_struct('done', all.done, 'order', cast(array() as array<int>)),
+        (acc, t) -> transform(array({choice}), x -> named_struct(
+            'done', transform(acc.done, (n, i) -> n + if(i = x, 1, 0)), 'order', concat(acc.order, array(x))))[0])"""
+    fold = f"""flatten(aggregate(sequence(0, ({period} - 1) div {PERIOD}),
+        named_struct('done', transform(shares, x -> cast(0 as bigint)), 'orders', cast(array() as array<array<int>>)),
+        (all, c) -> transform(array({part}), p -> named_struct('done', p.done, 'orders', concat(all.orders, array(p.order))))[0]).orders)"""
     row = shares.agg(F.array_sort(F.collect_list(F.struct("index", "share"))).alias("s")).select(F.col("s.share").alias("shares"))
     slots = row.where("size(shares) > 0").select("shares", F.posexplode(F.expr(fold)).alias("slot", "index"))
     seen = Window.partitionBy("index").orderBy("slot")
-    blocks = slots.select("slot", "index", (F.row_number().over(seen) - 1).alias("k"), F.expr("shares[index]").alias("share"))
+    blocks = slots.select("slot", "index", (F.row_number().over(seen) - 1).cast("long").alias("k"), F.expr("shares[index]").alias("share"))
     return blocks.select(
         "index", "k", "slot",
         F.expr(f"(k * {period}) div share").alias("release"),
@@ -69,7 +81,7 @@ def schedule(
     source_col: str = "source",
     order_cols: tuple[str, ...] = ("doc_id",),
     block: int = BLOCK,
-    period: int = PERIOD,
+    period: int | None = None,
     temper: float = TEMPER,
 ) -> DataFrame:
     """row (the input's whole row), source, block, slot, release, deadline, position, in_mix: one row per input row.
@@ -78,19 +90,24 @@ def schedule(
     of the schedule: slot, position and the like are null and in_mix is false. in_mix marks the slots before the first for
     which a source has no row left: up to there every prefix keeps to the weights. ``position`` numbers
     the places of the schedule; short last blocks leave gaps. Rows go in order of the hash of ``order_cols``; ties and
-    repeated rows each have a place. At most a quarter as many sources as
-    the period has slots can have a weight.
+    repeated rows each have a place. Without ``period`` it follows from the blocks and sources; of a given one, at most a
+    quarter as many sources as it has slots can have a weight.
     """
     rows = with_row(docs).withColumn("source", col("row").getField(source_col).cast("string"))
     rows = rows.withColumn("uid", F.monotonically_increasing_id())
     counts = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    if period is None:
+        counts = materialise(counts, "counts")
+        blocks, sources = counts.agg(F.sum(F.expr(f"(n + {block} - 1) div {block}")), F.count(F.lit(1))).first()
+        period = PERIOD * -(-max(1, blocks or 0, 4 * sources) // PERIOD)
     shares = materialise(target_shares(counts, weights, period, temper), "shares")
     if shares.count() > period // 4:
         raise ValueError(f"more than {period // 4} sources: raise the period with them")
     slots = materialise(one_period(shares, period), "period")
+    small = F.broadcast if period <= BROADCAST_SLOTS else lambda x: x
     horizon = shares.select(  # the first slot for which its source has nothing
         "index", F.expr(f"(n + {block} - 1) div {block}").alias("full"), "share"
-    ).join(F.broadcast(slots), "index").where("k = full % share").select((F.expr(f"full div share * {period}") + F.col("slot")).alias("slot"))
+    ).join(small(slots), "index").where("k = full % share").select((F.expr(f"full div share * {period}") + F.col("slot")).alias("slot"))
     horizon = materialise(horizon.agg(F.min("slot").alias("horizon")), "horizon")
     ranked = rank_within(
         rows.withColumn("key", F.coalesce("source", F.lit("\0null"))).withColumn("h", F.xxhash64(*[col("row").getField(c) for c in order_cols])),
@@ -100,8 +117,8 @@ def schedule(
     placed = (
         ranked.withColumn("block", F.expr(f"rank_ div {block}"))
         .join(F.broadcast(of), "key", "left")
-        .withColumn("k", F.expr("block % share").cast("int"))
-        .join(F.broadcast(slots), ["index", "k"], "left")
+        .withColumn("k", F.expr("block % share"))
+        .join(small(slots), ["index", "k"], "left")
         .join(F.broadcast(horizon))
     )
     turn = F.expr(f"(block div share) * {period}")

@@ -85,6 +85,24 @@ def test_one_source_mixes_to_all_of_it(spark):
     assert mixing.mix(df).count() == 50
 
 
+def test_mixing_targets_are_not_rounded_to_a_fixed_period(spark):
+    df = spark.range(60_000).selectExpr("id AS doc_id", "concat('s', floor(log2(id % 65535 + 1))) AS source")
+    weights = {f"s{k}": 2.0**k for k in range(16)}
+    got = mixing.schedule(df, weights, block=4).groupBy("source", "block").agg({"slot": "min", "release": "max", "deadline": "min"}).collect()
+    assert all(x["max(release)"] <= x["min(slot)"] < x["min(deadline)"] for x in got)
+    slots = [(x["min(slot)"], x["source"]) for x in got]
+    for end in (1024, 8192, 15_000):
+        done = Counter(s for t, s in slots if t < end)
+        left = {s for s, n in Counter(s for _, s in slots).items() if n > done[s]}  # of these none has run out
+        assert left and all(abs(done[s] - end * weights[s] / 65535) < 2 for s in left)
+
+
+def test_mixing_takes_any_number_of_sources(spark):
+    df = spark.range(1200).selectExpr("id AS doc_id", "concat('s', id % 400) AS source")
+    got = mixing.schedule(df).collect()
+    assert len(got) == 1200 and len({x["position"] for x in got}) == 1200 and all(x["release"] <= x["slot"] < x["deadline"] for x in got)
+
+
 def slow_kneser_ney(texts, order, alphabet):
     """Textbook probabilities as a function of (context, symbol)."""
     grams = [Counter() for _ in range(order + 1)]
