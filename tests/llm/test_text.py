@@ -254,6 +254,17 @@ def test_attention_gradients_and_windows():
     assert np.allclose(a[:25], b[:25])
 
 
+def test_lm_score_is_the_same_whichever_words_are_broadcast(spark, monkeypatch):
+    r = random.Random(6)
+    rows = [(i, " ".join("word" + str(int(r.paretovariate(0.5))) for _ in range(40))) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    scores = []
+    for most in (6, 65_536):
+        monkeypatch.setattr(lm_score.common_words, "__defaults__", (most,))
+        scores.append({x["doc_id"]: x["score"] for x in lm_score.lm_score(docs, steps=50).collect()})
+    assert scores[0].keys() == scores[1].keys() and all(abs(scores[0][i] - scores[1][i]) < 1e-3 for i in scores[0])
+
+
 def test_lm_scores_match_brute_force_counts_and_beat_them(spark, monkeypatch):
     monkeypatch.setattr(lm_score.common_words, "__defaults__", (6,))
     r = random.Random(6)
