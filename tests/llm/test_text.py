@@ -265,6 +265,15 @@ def test_lm_score_is_the_same_whichever_words_are_broadcast(spark, monkeypatch):
     assert scores[0].keys() == scores[1].keys() and all(abs(scores[0][i] - scores[1][i]) < 1e-3 for i in scores[0])
 
 
+def test_lm_slots_come_from_all_training_documents(spark, monkeypatch):
+    made, fit = [], lm_score.fit
+    monkeypatch.setattr(lm_score, "fit", lambda *x: made.append(fit(*x)) or made[-1])
+    docs = spark.createDataFrame([(i, f"{w} " * 9) for i, w in enumerate(["cat", "dog", "home", "green", "seven", "water"] * 20)], "doc_id long, text string")
+    lm_score.lm_score(docs, steps=5, sample_chars=100)
+    lexicon = made[0].lexicon
+    assert {u for w in (b"cat", b"dog", b"home", b"green", b"seven", b"water") for u in lexicon.units(w)} <= lexicon.slots.keys()
+
+
 def test_lm_scores_match_brute_force_counts_and_beat_them(spark, monkeypatch):
     monkeypatch.setattr(lm_score.common_words, "__defaults__", (6,))
     r = random.Random(6)
