@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import xxhash
 import pytest
 
 from quillgraph.llm import license_scan, lm_score, mixing, packing, quality, url_filter
@@ -271,7 +272,7 @@ def test_lm_slots_come_from_all_training_documents(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"{w} " * 9) for i, w in enumerate(["cat", "dog", "home", "green", "seven", "water"] * 20)], "doc_id long, text string")
     lm_score.lm_score(docs, steps=5, sample_chars=100)
     lexicon = made[0].lexicon
-    assert {u for w in (b"cat", b"dog", b"home", b"green", b"seven", b"water") for u in lexicon.units(w)} <= lexicon.slots.keys()
+    assert {u for w in ("cat", "dog", "home", "green", "seven", "water") for u in lexicon.units(w)} <= lexicon.slots.keys()
 
 
 def test_lm_scores_match_brute_force_counts_and_beat_them(spark, monkeypatch):
@@ -292,3 +293,81 @@ def test_lm_scores_match_brute_force_counts_and_beat_them(spark, monkeypatch):
     mine, base = (sum(x[k] for x in got if x["held_out"]) for k in ("score", "base_score"))
     assert mine > base and all(np.isfinite(x["score"]) for x in got)
     assert lm_score.lm_score(docs.limit(0)).count() == 0
+
+
+def slow_scores(rows, scorer, path, n):
+    """log10 probabilities word by word and token by token, in plain loops over the same weights and mixture."""
+    w, lex = {k: v.astype(np.float64) for k, v in scorer.model.w.items()}, scorer.lexicon
+    before, block, mask64 = lm_score.BEFORE, lm_score.BLOCK, (1 << 64) - 1
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    bag = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), t or "")), ""]
+    softmax = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    counts = Counter(x for i, t in rows if not held(i) for x in bag(t))
+
+    def spelled(words):
+        units = [[lex.slots.get(u, lm_score.TAIL) for u in lex.units(x)] for x in words]
+        tokens = [u for x in units for u in x]
+        inputs, out = [lm_score.BOS, *tokens], []
+        for at, y in enumerate(tokens):
+            first = at // block * block - before
+            x = [w["e"][inputs[j]] + w["p"][j - first] for j in range(max(0, first), at + 1)]
+            a = softmax(np.array([x[-1] @ w["q"] @ (z @ w["k"]) / lm_score.DIM**0.5 for z in x]))
+            h = np.maximum(x[-1] @ w["x"] + sum(p * (z @ w["v"]) for p, z in zip(a, x)) @ w["o"] + w["b"], 0)
+            c, r = divmod(y, lm_score.MEMBERS)
+            out.append(math.log(softmax(h @ w["c"] + w["cb"])[c] * softmax(h @ w["n"][c] + w["nb"][c])[r]))
+        seen, total = lex.tail
+        sums = []
+        for x, u in zip(words, units):
+            rare = sum(math.log((seen.get(z, 0) + 1) / (total + 2 * 50_257 + 1)) for z in lex.units(x) if z not in lex.slots)
+            sums.append(sum(out.pop(0) for _ in u) + rare)
+        return sums
+
+    def cut(words):
+        """(number of its first word, the words before, the passage)"""
+        begin = []
+        for i in range(6, len(words)):
+            b = sum(xxhash.xxh64_intdigest(words[i - k]) * pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, 7)) & mask64
+            b = ((b ^ (b >> 31)) * 0xD6E8FEB86659FD93) & mask64
+            if (b ^ (b >> 32)) % 16 == 0:
+                begin.append(i)
+        return [(a, tuple(words[a - 6 : a]), tuple(words[a:b])) for a, b in zip(begin, [*begin[1:], len(words)])]
+
+    memory = [(held(i), cut(bag(t))) for i, t in rows]
+    scores, met = [], 0
+    for at, (i, t) in enumerate(rows):
+        words = bag(t)
+        p = [math.log(scorer.weight * counts[x] / n + (1 - scorer.weight) * math.exp(q)) for x, q in zip(words, spelled(words))]
+        total = sum(p)
+        for a, ahead, passage in memory[at][1]:
+            others = [(x, y) for k, (h, cuts) in enumerate(memory) if k != at and not h for _, x, y in cuts if x == ahead]
+            if others:
+                met += 1
+                by_word = sum(p[a : a + len(passage)])
+                total += math.log((sum(y == passage for _, y in others) + math.exp(by_word)) / (len(others) + 1)) - by_word
+        scores.append(total / math.log(10))
+    return scores, met
+
+
+def test_lm_scores_match_a_plain_loop(spark, monkeypatch):
+    made, fit = [], lm_score.fit
+    monkeypatch.setattr(lm_score, "fit", lambda *x: made.append(fit(*x)) or made[-1])
+    monkeypatch.setattr(lm_score.common_words, "__defaults__", (20,))
+    r = random.Random(8)
+    text = lambda k: " ".join("ABCDEFGH"[int(r.paretovariate(0.4)) % 8] + "word" * (int(r.paretovariate(0.7)) % 3) + str(int(r.paretovariate(0.5)) % 300) for _ in range(k))
+    copied = [text(90), text(120)]
+    rows = [(i, text(r.randint(0, 60))) for i in range(40)]
+    rows += [(100 + i, copied[i % 2] + (" and another end" if i % 3 == 0 else "")) for i in range(8)] + [(7, None), (None, "x\u00e9\x1c y " * 40), (300, "same " * 50), (301, "same " * 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = lm_score.lm_score(docs, steps=30).collect()
+    want, met = slow_scores(rows, made[0], None, got[0]["train_tokens"])
+    assert met > 20
+    assert np.allclose(sorted(x["score"] for x in got), sorted(want), atol=2e-3, rtol=1e-4)
+    once = [x["score"] / x["n_tokens"] for x in got if x["doc_id"] is not None and x["doc_id"] < 40 and x["n_tokens"] > 20]
+    assert min(x["score"] / x["n_tokens"] for x in got if x["doc_id"] and 100 <= x["doc_id"] < 108) > max(once)
+
+
+def test_lm_sample_is_bounded_whatever_one_text_holds(spark):
+    docs = spark.createDataFrame([(i, "word " * (2 if i % 9 else 4000)) for i in range(300)], "doc_id long, text string")
+    sample = lm_score.sample_texts(docs, 266 * 11, 900)
+    assert sample and sum(map(len, sample)) <= 900
+    assert lm_score.sample_texts(docs.limit(0), 0, 900) == []
