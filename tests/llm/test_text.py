@@ -371,3 +371,15 @@ def test_lm_sample_is_bounded_whatever_one_text_holds(spark):
     sample = lm_score.sample_texts(docs, 266 * 11, 900)
     assert sample and sum(map(len, sample)) <= 900
     assert lm_score.sample_texts(docs.limit(0), 0, 900) == []
+
+
+def test_lexicon_keeps_the_common_words():
+    counts = {f"w{i}": i for i in range(0, 3000, 3)}
+    lex = lm_score.Lexicon(lm_score.tokenizer_path(), {}, ({}, 0), counts)
+    first = np.array([lex[f"w{i}"] for i in range(3000)])
+    tokens = lex.tokens(first[::3])
+    lex.trim()
+    assert len(lex) == lex.n == 1000 and (lex.tokens(np.array([lex[f"w{i}"] for i in range(0, 3000, 3)])) == tokens).all()
+    assert all(lex.count[lex[w]] == c for w, c in counts.items())
+    again = lex["w1"]
+    assert again == 1000 and lex.count[again] == -1
