@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..plans.algebra import Agg
 from ..terms import BOOLEAN, DECIMAL, DOUBLE, INTEGERS, LONG, STRING, UINT, ULONG, native, promote
 from .expressions import Scope, evaluate
-from .values import bound, numbers, pack, read, text
+from .values import Value, bound, by_kind, numbers, pack, read, text
 
 
 def aggregate(agg: Agg, scope: Scope) -> tuple[Column, tuple[str, ...]]:
@@ -54,7 +56,7 @@ def aggregate(agg: Agg, scope: Scope) -> tuple[Column, tuple[str, ...]]:
                 t = promote(t, u)
             return f(F.coalesce(*[c.cast(native(t)) for c in value.values()])), (t,)
         c, types = pack(value)
-        return (f(c), types) if types else (c, ())
+        return (_extreme(f, value, c) if len(types) > 1 else f(c), types) if types else (c, ())
     if agg.name == "GROUP_CONCAT":
         s = text(value)
         gathered = F.array_distinct(F.collect_list(s)) if agg.distinct else F.collect_list(s)
@@ -64,3 +66,20 @@ def aggregate(agg: Agg, scope: Scope) -> tuple[Column, tuple[str, ...]]:
         return (F.array_distinct(F.collect_list(c)) if agg.distinct else F.collect_list(c)), types[:1]
     c, types = pack(value)
     return (F.first(c, ignorenulls=True), types) if types else (c, ())
+
+
+def _extreme(f: Callable[[Column], Column], value: Value, packed: Column) -> Column:
+    """The least or greatest of several types: by kind as in ORDER BY, but numbers among themselves."""
+    number = numbers(value)
+    kinds = by_kind(value)
+    rank = F.lit(None).cast("int")
+    for i, t in enumerate(kinds):
+        rank = F.when(value[t].isNotNull(), kinds.index(next(u for u in kinds if u in number)) if t in number else i).otherwise(rank)
+    keys = [rank.alias("rank")]
+    if number:
+        t = next(iter(number))
+        for u in number:
+            t = promote(t, u)
+        keys.append(F.coalesce(*[c.cast(native(t)) for c in number.values()]).alias("number"))
+    keys += [value[t].alias(f"v{i}") for i, t in enumerate(kinds) if t not in number]
+    return f(F.when(bound(value), F.struct(*keys, packed.alias("packed")))).getField("packed")

@@ -30,6 +30,12 @@ def pack(value: Value) -> tuple[Column, tuple[str, ...]]:
     return F.when(bound(value), F.struct(*[value[t].cast(native(t)).alias(t) for t in types])), types
 
 
+def by_kind(value: Value) -> list[str]:
+    """The types in the order of values of several kinds: IRIs, blank nodes, literals by their datatype's IRI."""
+    order = {IRI_T: (0, ""), BLANK_T: (1, "")}
+    return sorted(value, key=lambda t: order.get(t, (2, t)))
+
+
 def bound(value: Value) -> Column:
     out = F.lit(False)
     for c in value.values():

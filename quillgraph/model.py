@@ -213,14 +213,15 @@ class Model:
         self._add_quads(documents.xml_graph(_text(source).encode()), graph, transient)
 
     # documents
-    def read(self, path: str, format: str | None = None, base_iri: str = "", transient: bool = False, graph: str | None = None, known_contexts: dict[str, Any] | None = None, **_: Any) -> None:  # noqa: A002
-        """A file, or for N-Triples a folder of files, which all executors read."""
+    def read(self, path: str, format: str | None = None, base_iri: str = "", transient: bool = False, graph: str | None = None, known_contexts: dict[str, Any] | None = None, checked: bool = True, **_: Any) -> None:  # noqa: A002
+        """A file, or for N-Triples a folder of files, which all executors read. Malformed N-Triples lines are an error;
+        unless ``checked`` they are left out with a warning, as are literals that are no value of their datatype."""
         kind = _FORMATS.get((format or "").lower()) or _EXTENSIONS.get(Path(path).suffix.lower())
         if kind is None:
             raise GraphError(f"unknown format of {path!r}")
         if kind == "ntriples":
             self._parses += 1
-            for (p, st, ot), df in ntriples.read_ntriples(self.spark, path, f"_{self._parses - 1}"):
+            for (p, st, ot), df in ntriples.read_ntriples(self.spark, path, f"_{self._parses - 1}", checked):
                 self.catalog.insert((graph_name(graph), p, st, ot), df, transient)
         else:
             self.reads(Path(path).read_text(encoding="utf-8-sig"), kind, base_iri, transient, graph, known_contexts)

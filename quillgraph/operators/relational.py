@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.values import Value, pack, read
+from ..functions.values import Value, by_kind, pack, read
 from ..terms import Solutions, native
 
 KEY = "__k_"
@@ -193,8 +193,7 @@ def extend(s: Solutions, var: str, value: Value) -> Solutions:
 
 def sort_keys(value: Value, ascending: bool) -> list[Column]:
     """Unbound, then IRIs, blank nodes and literals by their datatype's IRI; within a type by value."""
-    order = {"I": (0, ""), "B": (1, "")}
-    types = sorted(value, key=lambda t: order.get(t, (2, t)))
+    types = by_kind(value)
     keys = []
     if len(types) > 1:
         rank = F.lit(0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields, is_dataclass
 from typing import Any
 
 from ..terms import IRI, Term, Variable
@@ -251,9 +251,18 @@ def expression_variables(e: Any) -> set[str]:
         case Call(_, args):
             return set().union(*map(expression_variables, args))
         case Exists(p):
-            return set(variables(p))
+            return mentioned(p)
         case Agg(_, expr):
             return expression_variables(expr)
         case list():
             return set().union(*map(expression_variables, e))
     return set()
+
+
+def mentioned(x: Any) -> set[str]:
+    """Every variable of a pattern, those of its filters too."""
+    if isinstance(x, Variable):
+        return set() if x.name.startswith("__") else {x.name}
+    if isinstance(x, list | tuple):
+        return set().union(*map(mentioned, x))
+    return set().union(*(mentioned(getattr(x, f.name)) for f in fields(x))) if is_dataclass(x) else set()

@@ -16,7 +16,8 @@ from ..functions.values import Value, boolean, pack, read
 from ..operators import paths as P
 from ..operators import relational as R
 from ..operators.relational import KEY, col
-from ..terms import IRI, IRI_T, BlankNode, GraphError, Solutions, Term, Variable, native, term_column, term_type
+from ..scratch import materialise
+from ..terms import IRI, IRI_T, LONG, BlankNode, GraphError, Solutions, Term, Variable, native, term_column, term_type
 from . import algebra as A
 
 
@@ -323,10 +324,12 @@ class Planner:
             q = q.p
         inner = self.lower(q, graph)
         late, early = [], []
-        for c in conditions:
-            (early if A.expression_variables(c) <= set(inner.types) else late).append(c)
+        for c in conditions:  # late are those that see a variable which only the rows outside bind
+            (late if (A.expression_variables(c) - set(inner.types)) & set(s.types) else early).append(c)
         for c in early:
             inner = self._filter(A.Filter(c, Given(inner)), graph)
+        if any(map(_has_exists, late)):
+            return self._exists_by_row(s, inner, late, graph, how)
         outer = {v for c in late for v in A.expression_variables(c)}
         names = [v for v in inner.types if v in s.types or v in outer]
         inner = R.project(inner, names)
@@ -340,6 +343,17 @@ class Planner:
             return Solutions(s.df.join(F.broadcast(flag), F.lit(True), how), s.types, s.maybe, s.keys)
         return self._join2(s, inner, how, extra)
 
+    def _exists_by_row(self, s: Solutions, inner: Solutions, conditions: list[Any], graph: str, how: str) -> Solutions:
+        """Conditions that hold an EXISTS of their own are tested on the joined rows; the rows outside are told apart by number."""
+        self.fresh += 1
+        row, s = f"__row{self.fresh}", R.plain(s)
+        numbered = materialise(s.df.withColumn(row, F.monotonically_increasing_id()))
+        both = self._join2(Solutions(numbered, {**s.types, row: (LONG,)}, s.maybe), R.plain(inner))
+        for c in conditions:
+            both = self._filter(A.Filter(c, Given(both)), graph)
+        hits = both.df.select(row).distinct()
+        return Solutions(numbered.join(hits, row, how).drop(row), s.types, s.maybe)
+
     def _with_exists(self, s: Solutions, e: Any, graph: str) -> tuple[Solutions, Scope]:
         """EXISTS inside a larger expression becomes a marked left join with the distinct shared keys."""
         found: list[tuple[A.Exists, str]] = []
@@ -499,3 +513,7 @@ def _all(tests: list[Column]) -> Column:
     for t in tests[1:]:
         out = out & t
     return out
+
+
+def _has_exists(e: Any) -> bool:
+    return isinstance(e, A.Exists) or isinstance(e, A.Call) and any(map(_has_exists, e.args))

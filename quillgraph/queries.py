@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -117,6 +118,49 @@ SPARQL: dict[str, tuple[str, str, str]] = {
         'SELECT ?n WHERE { ?c ex:c_name ?n ; ex:c_acctbal ?b FILTER(?b < 0 || EXISTS { ?o ex:o_custkey ?c ; ex:o_orderstatus "P" }) }',
         "SELECT c_name AS n FROM customer WHERE c_acctbal < 0 OR c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')",
     ),
+    "exists_nested": (
+        "customer orders lineitem",
+        "SELECT ?n WHERE { ?c ex:c_name ?n FILTER EXISTS { ?o ex:o_custkey ?c FILTER NOT EXISTS { ?l ex:l_orderkey ?o ; ex:l_quantity ?q FILTER(?q > 10) } } }",
+        "SELECT c_name AS n FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 10))",
+    ),
+    "exists_nested_outer": (
+        "customer orders lineitem",
+        "SELECT ?n WHERE { ?c ex:c_name ?n ; ex:c_acctbal ?b FILTER EXISTS { ?o ex:o_custkey ?c FILTER NOT EXISTS { ?l ex:l_orderkey ?o ; ex:l_extendedprice ?p FILTER(?p > ?b * 2) } } }",
+        "SELECT c_name AS n FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_extendedprice > c_acctbal * 2))",
+    ),
+    "min_max_mixed": (
+        "part",
+        "SELECT ?b (STR(MAX(?v)) AS ?hi) (xsd:double(MIN(?v)) AS ?lo) WHERE { ?x ex:p_brand ?b { ?x ex:p_size ?v } UNION { ?x ex:p_retailprice ?v } UNION { ?x ex:p_name ?v } } GROUP BY ?b",
+        "SELECT p_brand AS b, max(p_name) AS hi, least(min(p_size), min(p_retailprice))::DOUBLE AS lo FROM part GROUP BY p_brand",
+    ),
+    "select_star": ("nation region", "SELECT * WHERE { ?n ex:n_name ?name ; ex:n_regionkey ?r . ?r ex:r_name ?region }", """SELECT 'http://example.org/nation/' || n_nationkey AS n, n_name AS name, 'http://example.org/region/' || n_regionkey AS r, r_name AS region
+           FROM nation JOIN region ON n_regionkey = r_regionkey"""),
+    "count_distinct_star": (
+        "orders",
+        "SELECT (COUNT(DISTINCT *) AS ?n) WHERE { SELECT ?s ?p WHERE { ?o ex:o_orderstatus ?s ; ex:o_orderpriority ?p } }",
+        "SELECT count(*) AS n FROM (SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders)",
+    ),
+    "avg_distinct": ("part", "SELECT (AVG(DISTINCT ?s) AS ?a) (SUM(DISTINCT ?s) AS ?t) WHERE { ?p ex:p_size ?s }", "SELECT avg(DISTINCT p_size) AS a, sum(DISTINCT p_size)::BIGINT AS t FROM part"),
+    "not_equal": (
+        "orders",
+        'SELECT ?o ?s WHERE { ?o ex:o_orderstatus ?s FILTER(?s != "F" && !(?s = "P")) }',
+        "SELECT 'http://example.org/order/' || o_orderkey AS o, o_orderstatus AS s FROM orders WHERE o_orderstatus <> 'F' AND o_orderstatus <> 'P'",
+    ),
+    "same_term": (
+        "customer supplier",
+        "SELECT ?c ?s WHERE { ?c ex:c_nationkey ?n ; ex:c_acctbal ?b . ?s ex:s_nationkey ?m FILTER(?b > 9900 && sameTerm(?n, ?m)) }",
+        "SELECT 'http://example.org/customer/' || c_custkey AS c, 'http://example.org/supplier/' || s_suppkey AS s FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE c_acctbal > 9900",
+    ),
+    "bound_": (
+        "documents labels",
+        "SELECT ?l (COUNT(?d) AS ?n) WHERE { ?d ex:lang ?l OPTIONAL { ?d ex:quality ?q } FILTER(!BOUND(?q)) } GROUP BY ?l",
+        "SELECT lang AS l, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY lang",
+    ),
+    "iri_of_text": (
+        "nation",
+        'SELECT (IRI(CONCAT("http://example.org/by-name/", ENCODE_FOR_URI(?n))) AS ?i) (STRDT(STR(?k), xsd:integer) AS ?d) WHERE { ?x ex:n_name ?n ; ex:n_nationkey ?k }',
+        "SELECT 'http://example.org/by-name/' || url_encode(n_name) AS i, n_nationkey::BIGINT AS d FROM nation",
+    ),
     "bind_arith": (
         "lineitem",
         "SELECT ?l ?net ?unit WHERE { ?l ex:l_extendedprice ?p ; ex:l_discount ?d ; ex:l_quantity ?q BIND(?p * (1 - ?d) AS ?net) BIND(?p / ?q AS ?unit) FILTER(?q > 45) }",
@@ -368,7 +412,7 @@ def template_map(spark: SparkSession, sf_dir: str) -> DataFrame:
       ex:Named [ottr:IRI ?x, xsd:string ?name] :: {{ ottr:Triple(?x, rdfs:label, ?name) }} .
       ex:Turn [ottr:IRI ?conv, xsd:string ?role, List<xsd:string> ?words] :: {{ ex:Named(?conv, ?role), cross | ottr:Triple(?conv, ex:word, ++?words) }} .""")
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    m.map("ex:Turn", c.select(F.concat(F.lit(EX + "conv/"), F.col("conv_id").cast("string")).alias("conv"), "role", F.slice(F.split("text", " "), 1, 3).alias("words")))
+    m.map("ex:Turn", c.select(F.concat(F.lit(EX + "conv/"), F.col("conv_id").cast("string")).alias("conv"), "role", F.split("text", " ").alias("words")))
     return m.query(PREFIX + "SELECT ?c (COUNT(DISTINCT ?r) AS ?roles) (COUNT(DISTINCT ?w) AS ?words) WHERE { ?c rdfs:label ?r ; ex:word ?w } GROUP BY ?c", native=True)
 
 
@@ -389,6 +433,27 @@ def ntriples_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.query(PREFIX + "SELECT ?n ?name ?key ?rn WHERE { ?n ex:n_name ?name ; ex:n_nationkey ?key ; ex:n_regionkey ?r . ?r ex:r_name ?rn }", native=True)
 
 
+def ntriples_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts, with all that must be escaped in them, written and read again."""
+    from .scratch import root
+
+    m, folder = model_of(spark, sf_dir, "documents"), f"{root(spark)}/quillgraph/nt-{uuid.uuid4().hex}"
+    m.write(folder, "ntriples")
+    back = Model(spark)
+    back.read(folder, "ntriples")
+    return back.query(PREFIX + "SELECT ?d ?t ?n WHERE { ?d ex:text ?t ; ex:n_chars ?n }", native=True)
+
+
+def graph_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """INSERT DATA, ADD, COPY, MOVE and DELETE WHERE over named graphs."""
+    m = model_of(spark, sf_dir, "nation", graph=EX + "g1")
+    m.update(PREFIX + 'INSERT DATA { GRAPH ex:g1 { ex:extra ex:n_name "EXTRA" } }')
+    for step in ("ADD ex:g1 TO ex:g2", "COPY ex:g2 TO ex:g3", "MOVE ex:g3 TO ex:g4"):
+        m.update(PREFIX + step)
+    m.update(PREFIX + "WITH ex:g4 DELETE { ?x ex:n_comment ?c } WHERE { ?x ex:n_comment ?c }")
+    return m.query(PREFIX + "SELECT ?g ?n WHERE { GRAPH ?g { ?x ex:n_name ?n } }", native=True)
+
+
 def udf_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = model_of(spark, sf_dir, "part")
     m.add_udf(EX + "double_it", lambda x: x * 2, "http://www.w3.org/2001/XMLSchema#double")
@@ -397,7 +462,7 @@ def udf_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pvalues_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = model_of(spark, sf_dir, "part")
-    wanted = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_brand").alias("b")).distinct().orderBy("b").limit(3)
+    wanted = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_brand").alias("b")).distinct()
     return m.query(PREFIX + "SELECT ?p ?b WHERE { PVALUES (?b) brands ?p ex:p_brand ?b }", {"brands": wanted}, native=True)
 
 
@@ -422,11 +487,13 @@ OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "path_plus": (path_plus, f"WITH RECURSIVE {_HAS}, t(a, b) AS (SELECT a, b FROM has UNION SELECT t.a, h.b FROM t JOIN has h ON t.b = h.a) SELECT a, b FROM t"),
     "path_star": (path_star, f"WITH RECURSIVE {_HAS}, t(a, b) AS (SELECT a, b FROM has UNION SELECT t.a, h.b FROM t JOIN has h ON t.b = h.a) SELECT a, b FROM t UNION SELECT a, a FROM has UNION SELECT b, b FROM has"),
     "path_plus_constant": (path_plus_constant, f"WITH RECURSIVE {_HAS}, t(b) AS (SELECT b FROM has WHERE a = 'http://example.org/region/2' UNION SELECT h.b FROM t JOIN has h ON t.b = h.a) SELECT b FROM t"),
-    "template_map": (template_map, "SELECT 'http://example.org/conv/' || conv_id AS c, count(DISTINCT role) AS roles, count(DISTINCT w) AS words FROM (SELECT conv_id, role, unnest(string_split(text, ' ')[1:3]) AS w FROM conversations) GROUP BY conv_id"),
+    "template_map": (template_map, "SELECT 'http://example.org/conv/' || conv_id AS c, count(DISTINCT role) AS roles, count(DISTINCT w) AS words FROM (SELECT conv_id, role, unnest(string_split(text, ' ')) AS w FROM conversations) GROUP BY conv_id"),
     "map_default_query": (map_default_query, "SELECT 'http://example.org/supplier/' || s_suppkey AS id, s_name AS name, s_acctbal AS bal FROM supplier"),
     "ntriples_roundtrip": (ntriples_roundtrip, "SELECT 'http://example.org/nation/' || n_nationkey AS n, n_name AS name, n_nationkey AS key, r_name AS rn FROM nation JOIN region ON n_regionkey = r_regionkey"),
+    "ntriples_documents": (ntriples_documents, "SELECT 'http://example.org/doc/' || doc_id AS d, text AS t, n_chars AS n FROM documents"),
+    "graph_copies": (graph_copies, "SELECT 'http://example.org/g' || g AS g, n FROM (SELECT n_name AS n FROM nation UNION ALL SELECT 'EXTRA'), (VALUES (1), (2), (4)) AS v(g)"),
     "udf_query": (udf_query, "SELECT 'http://example.org/part/' || p_partkey AS p, p_retailprice * 2 AS twice FROM part"),
-    "pvalues_query": (pvalues_query, "SELECT 'http://example.org/part/' || p_partkey AS p, p_brand AS b FROM part WHERE p_brand IN (SELECT DISTINCT p_brand FROM part ORDER BY p_brand LIMIT 3)"),
+    "pvalues_query": (pvalues_query, "SELECT 'http://example.org/part/' || p_partkey AS p, p_brand AS b FROM part"),
     "facade_df": (facade_df, "SELECT r_name AS n, r_regionkey AS k FROM region"),
     "uuid_v5": (uuid_v5, None),
 }

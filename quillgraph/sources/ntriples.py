@@ -2,54 +2,86 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.values import read
 from ..scratch import materialise
-from ..terms import BLANK_T, IRI_T, LANGSTRING, STRING, lexical, parse_lexical
+from ..terms import BLANK_T, IRI_T, LANGSTRING, STRING, TYPED, GraphError, lexical, parse_lexical
 
-_SUBJECT = r"^\x{FEFF}?\s*(?:<([^>]*)>|_:(\S+))"
-_REST = r'\s*<([^>]*)>\s*(?:<([^>]*)>|_:([^\s]+?)|"((?:[^"\\]|\\.)*)"(?:@([A-Za-z0-9\-]+)|\^\^<([^>]*)>)?)\s*\.\s*(?:#.*)?$'
-_LINE = _SUBJECT + _REST
+_CODE = r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}"
+# possessive loops: they take texts of any length without recursion
+_IRI = rf'<([^\x00-\x20<>"{{}}|^`\\]*+(?:(?:{_CODE})[^\x00-\x20<>"{{}}|^`\\]*+)*+)>'
+_TEXT = rf"""((?:[^"\\\r\n]++|\\[tbnrf"'\\]|{_CODE})*+)"""
+_BLANK = r"_:([^\s<>\".]++(?:\.++[^\s<>\".]++)*+)"
+_LINE = rf'^\x{{FEFF}}?[ \t]*(?:{_IRI}|{_BLANK})[ \t]*{_IRI}[ \t]*(?:{_IRI}|{_BLANK}|"{_TEXT}"(?:@([A-Za-z]++(?:-[A-Za-z0-9]++)*+)|\^\^{_IRI})?)[ \t]*\.[ \t]*(?:#.*)?$'
+_NOTHING = r"^\x{FEFF}?\s*(#.*)?$"
+_PLAIN = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f", '"': '"', "'": "'", "\\": "\\"}
 
 
 def unescaped(c: Column) -> Column:
-    """Backslash escapes, by way of JSON's, which are the same for all but \\' and \\U."""
-    json = F.concat(F.lit('{"a":"'), F.replace(F.replace(c, F.lit("\\'"), F.lit("'")), F.lit("\t"), F.lit("\\t")), F.lit('"}'))
-    return F.when(c.contains("\\"), F.get_json_object(json, "$.a")).otherwise(c)
+    """Backslash escapes, each read once from left to right."""
+
+    def one(x: Column) -> Column:
+        of = F.create_map(*[F.lit(v) for kv in _PLAIN.items() for v in kv])
+        code = F.decode(F.unhex(F.lpad(F.substring(x, 3, 8), 8, "0")), "UTF-32")
+        return F.when(~x.startswith("\\"), x).when(F.substring(x, 2, 1).isin("u", "U"), code).otherwise(of[F.substring(x, 2, 1)])
+
+    parts = F.regexp_extract_all(c, F.lit(rf"([^\\]++|{_CODE}|\\.)"), F.lit(1))
+    return F.when(c.contains("\\"), F.array_join(F.transform(parts, one), "")).otherwise(c)
 
 
 def parse(lines: DataFrame, blank_suffix: str) -> DataFrame:
-    """(st, s, p, ot, o, lang) from (value): subject and object with their types; lines that are no triple are left out."""
+    """(st, s, p, ot, o, lang, bad, ill) from (value): subject and object with their types. Of a line that is no triple
+    ``bad`` is the line, of one whose literal is no value of its datatype ``ill``; empty lines and comments are left out."""
     part = lambda i: F.regexp_extract("value", _LINE, i)
     some = lambda c: F.when(c != "", c)
-    raw = lines.where(F.col("value").rlike(_LINE)).select(
-        some(part(1)).alias("si"), some(part(2)).alias("sb"), part(3).alias("p"), some(part(4)).alias("oi"), some(part(5)).alias("ob"),
-        part(6).alias("text"), some(part(7)).alias("lang"), some(part(8)).alias("dt"),
+    right = F.col("value").rlike(_LINE)
+    raw = lines.where(~F.col("value").rlike(_NOTHING)).select(
+        some(part(1)).alias("si"), some(part(2)).alias("sb"), some(part(3)).alias("p"), some(part(4)).alias("oi"), some(part(5)).alias("ob"),
+        F.when(right, part(6)).alias("text"), some(part(7)).alias("lang"), some(part(8)).alias("dt"), F.when(~right, F.col("value")).alias("bad"), "value",
     )
     label = lambda c: F.concat(F.col(c), F.lit(blank_suffix))
-    return raw.select(
-        F.when(F.col("si").isNotNull(), IRI_T).otherwise(BLANK_T).alias("st"),
+    out = raw.select(
+        F.when(F.col("si").isNotNull(), IRI_T).when(F.col("sb").isNotNull(), BLANK_T).alias("st"),
         F.coalesce(unescaped(F.col("si")), label("sb")).alias("s"),
         unescaped(F.col("p")).alias("p"),
-        F.when(F.col("oi").isNotNull(), IRI_T).when(F.col("ob").isNotNull(), BLANK_T).when(F.col("lang").isNotNull(), LANGSTRING).otherwise(F.coalesce("dt", F.lit(STRING))).alias("ot"),
+        F.when(F.col("bad").isNull(), F.when(F.col("oi").isNotNull(), IRI_T).when(F.col("ob").isNotNull(), BLANK_T).when(F.col("lang").isNotNull(), LANGSTRING).otherwise(F.coalesce(unescaped(F.col("dt")), F.lit(STRING)))).alias("ot"),
         F.coalesce(unescaped(F.col("oi")), label("ob"), unescaped(F.col("text"))).alias("o"),
-        "lang",
-    )
+        "lang", "bad", "value",
+    )
+    ill = F.lit(False)
+    for t in TYPED:
+        ill = F.when(F.col("ot") == t, parse_lexical(F.col("o"), t).isNull()).otherwise(ill)
+    return out.withColumn("ill", F.when(ill, F.col("value"))).drop("value")
 
 
-def read_ntriples(spark: SparkSession, path: str, blank_suffix: str) -> list[tuple[tuple[str, str, str], DataFrame]]:
-    """((predicate, subject type, object type), rows) of a file or folder. Literals that are no value of their datatype are
-    left out. The text is read once, and kept sorted by those three so that each table reads its own row groups."""
-    return split(parse(spark.read.text(path), blank_suffix))
+def read_ntriples(spark: SparkSession, path: str, blank_suffix: str, checked: bool = True) -> list[tuple[tuple[str, str, str], DataFrame]]:
+    """((predicate, subject type, object type), rows) of a file or folder. The text is read once, and kept sorted by those
+    three so that each table reads its own row groups."""
+    return split(parse(spark.read.text(path), blank_suffix), checked)
 
 
-def split(parsed: DataFrame) -> list[tuple[tuple[str, str, str], DataFrame]]:
+def split(parsed: DataFrame, checked: bool = True) -> list[tuple[tuple[str, str, str], DataFrame]]:
+    """A line that is no triple is an error; unless ``checked``, it is left out. Literals that are no value of their
+    datatype are left out with a warning."""
     kept = materialise(parsed.repartitionByRange("p", "st", "ot", "s").sortWithinPartitions("p", "st", "ot"))
+    many = [f(c).alias(f"{k}_{c}") for c in ("bad", "ill") for k, f in (("n", F.count), ("some", lambda c: F.min(F.substring(c, 1, 200))))]
+    found = kept.groupBy("p", "st", "ot").agg(*many, F.count_if(F.isnull("bad") & F.isnull("ill")).alias("good")).collect()  # a row per predicate and types
+    for c, says in (("bad", "lines are no triple"), ("ill", "literals are no value of their datatype and are left out")):
+        some = [r for r in found if r["n_" + c]]
+        if some:
+            message = f"{sum(r['n_' + c] for r in some)} {says}, such as {some[0]['some_' + c]!r}"
+            if c == "bad" and checked:
+                raise GraphError(message)
+            warnings.warn(message, stacklevel=2)
     out = []
-    for r in kept.select("p", "st", "ot").distinct().collect():  # as many as the vocabulary has predicates
-        mine = kept.where((F.col("p") == r["p"]) & (F.col("st") == r["st"]) & (F.col("ot") == r["ot"]))
+    for r in found:
+        if not r["good"]:
+            continue
+        mine = kept.where((F.col("p") == r["p"]) & (F.col("st") == r["st"]) & (F.col("ot") == r["ot"]) & F.isnull("bad") & F.isnull("ill"))
         o = F.struct(F.col("o").alias("value"), "lang") if r["ot"] == LANGSTRING else F.col("o") if r["ot"] in (IRI_T, BLANK_T) else parse_lexical(F.col("o"), r["ot"])
         out.append(((r["p"], r["st"], r["ot"]), mine.select(F.col("s").alias("subject"), o.alias("object"))))
     return out

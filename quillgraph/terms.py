@@ -35,6 +35,8 @@ _NATIVE: dict[str, T.DataType] = {
     FLOAT: T.FloatType(), DOUBLE: T.DoubleType(), DECIMAL: T.DecimalType(38, 12), DATETIME: T.TimestampType(), DATETIMESTAMP: T.TimestampType(),
     DATE: T.DateType(), LANGSTRING: _LANG,
 }
+#: Datatypes whose lexical forms are read into values.
+TYPED = tuple(t for t in _NATIVE if t != LANGSTRING)
 #: Width in bits of numbers; reals have None beside it.
 INTEGERS = {XSD + "byte": 8, XSD + "short": 16, INT: 32, LONG: 64, INTEGER: 64, XSD + "unsignedByte": 8, XSD + "unsignedShort": 16, UINT: 32, ULONG: 64}
 REALS = {FLOAT: 32, DOUBLE: 64, DECIMAL: 64}
@@ -82,7 +84,7 @@ def parse_lexical(text: Column, t: str) -> Column:
     if isinstance(kind, T.StringType):
         return text
     if t == BOOLEAN:
-        return F.when(text.isin("true", "false"), text == "true")
+        return F.when(text.isin("true", "false", "1", "0"), text.isin("true", "1"))
     if t in TEMPORAL:
         return F.try_to_timestamp(text)
     if t == DATE:
@@ -91,7 +93,8 @@ def parse_lexical(text: Column, t: str) -> Column:
         number = F.when(text.rlike(r"^[+-]?\d+$"), text).try_cast("decimal(38,0)")
         low = 0 if "unsigned" in t else -(2 ** (INTEGERS[t] - 1))
         high = 2 ** INTEGERS[t] - 1 if "unsigned" in t else 2 ** (INTEGERS[t] - 1) - 1
-        return F.when(number.between(F.lit(low), F.lit(high)), number).try_cast(kind)
+        wide = lambda n: F.lit(str(n)).cast("decimal(38,0)")
+        return F.when(number.between(wide(low), wide(high)), number).try_cast(kind)
     special = F.when(text == "INF", F.lit("Infinity")).when(text == "-INF", F.lit("-Infinity")).otherwise(text)
     return special.try_cast(kind)
 

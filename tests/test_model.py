@@ -209,3 +209,39 @@ def test_mapped_table_is_one_scan(spark):
     joined = m.query("PREFIX e: <http://e/> SELECT ?a ?b WHERE { ?a e:g ?g . ?b e:g ?g . ?a e:k \"0\"^^xsd:long . ?b e:k ?kb }", native=True)
     assert "concat" not in joined._jdf.queryExecution().optimizedPlan().toString().split("Join")[1].split("\n")[0]
     assert BlankNode("x").name == "x"
+
+
+def _lines(spark, tmp_path, text, name, **how):
+    (tmp_path / name).write_text(text, encoding="utf-8")
+    m = Model(spark)
+    m.read(str(tmp_path / name), **how)
+    return sorted((str(r[0]), str(r[1])) for r in m.query("SELECT (STR(?s) AS ?i) (STR(?o) AS ?t) WHERE { ?s ?p ?o }", native=True).collect())
+
+
+def test_ntriples_escapes_are_read_once_from_left_to_right(spark, tmp_path):
+    text = r"""# a comment
+<http://e/1> <http://e/p> "x\U0001F600yé" .
+<http://e/2> <http://e/p> "a\\'b\\\\n\t\"\'" . # after
+
+_:b.1 <http://e/p> <http://e/é> .
+<http://e/3> <http://e/p> "1"^^<http://www.w3.org/2001/XMLSchema#boolean> .
+<http://e/4> <http://e/p> "LONG" .
+""".replace("LONG", r"long \"text\" " * 20_000)
+    got = dict(_lines(spark, tmp_path, text, "a.nt"))
+    assert got["http://e/1"] == "x\U0001f600yé" and got["http://e/2"] == "a\\'b\\\\n\t\"'" and got["http://e/3"] == "true"
+    assert got["http://e/4"] == 'long "text" ' * 20_000 and "http://e/é" in got.values() and len(got) == 5
+
+
+@pytest.mark.parametrize("bad", ['<http://e/1> <http://e/p> "open .', "<http://e/1> <http://e/p> .", '<http://e/1> <http://e/p> "\\q" .', "<http://e/a b> <http://e/p> <http://e/c> ."])
+def test_bad_ntriples_lines_are_an_error_unless_unchecked(spark, tmp_path, bad):
+    text = '<http://e/0> <http://e/p> "fine" .\n' + bad + "\n"
+    with pytest.raises(GraphError, match="1 lines"):
+        _lines(spark, tmp_path, text, "b.nt")
+    with pytest.warns(UserWarning, match="1 lines"):
+        assert _lines(spark, tmp_path, text, "b.nt", checked=False) == [("http://e/0", "fine")]
+
+
+def test_literals_of_no_value_are_left_out_with_a_warning(spark, tmp_path):
+    text = '<http://e/0> <http://e/p> "fine" .\n<http://e/1> <http://e/p> "abc"^^<http://www.w3.org/2001/XMLSchema#integer> .\n'
+    with pytest.warns(UserWarning, match="1 literals"):
+        assert _lines(spark, tmp_path, text, "c.nt") == [("http://e/0", "fine")]

@@ -168,3 +168,19 @@ def test_udf_and_parameters(spark, model):
     assert rows(model, "SELECT ?n WHERE { PVALUES (?h) h ?h :name ?n }", parameters={"h": (h, {"h": "I"})}) == [('"Ann"',)]
     with pytest.raises(GraphError):
         model.query(PRE + "SELECT ?n WHERE { PVALUES (?x) h ?x :name ?n }", parameters={"h": (h, {"h": "I"})})
+
+
+def test_extremes_of_several_types(spark):
+    m = Model(spark)
+    m.reads('@prefix e: <http://e/> . e:a e:p 1, 2, 2.5, "s" . e:b e:p 3.5e0, 4, -1.5 . e:c e:p e:x, "t" .', "turtle")
+    got = {r["s"]: (r["lo"], r["hi"]) for r in m.query("SELECT ?s (STR(MIN(?o)) AS ?lo) (STR(MAX(?o)) AS ?hi) WHERE { ?s <http://e/p> ?o } GROUP BY ?s", native=True).collect()}
+    assert got == {"http://e/a": ("1", "s"), "http://e/b": ("-1.5", "4"), "http://e/c": ("http://e/x", "t")}
+
+
+def test_exists_within_exists(spark):
+    m = Model(spark)
+    m.reads("@prefix e: <http://e/> . e:a e:r e:b ; e:v 1 . e:b e:k e:z . e:c e:r e:d ; e:v 2 . e:d e:w 2 . e:f e:r e:g ; e:v 3 . e:g e:w 1 .", "turtle")
+    ask = lambda q: {r["x"] for r in m.query("PREFIX e: <http://e/> SELECT ?x WHERE { ?x e:v ?v FILTER " + q + " }", native=True).collect()}
+    assert ask("EXISTS { ?x e:r ?y FILTER NOT EXISTS { ?y e:k ?z } }") == {"http://e/c", "http://e/f"}
+    assert ask("EXISTS { ?x e:r ?y FILTER EXISTS { ?y e:w ?w FILTER(?w = ?v) } }") == {"http://e/c"}
+    assert ask("NOT EXISTS { ?x e:r ?y FILTER EXISTS { ?y e:w ?w FILTER(?w = ?v) } }") == {"http://e/a", "http://e/f"}
