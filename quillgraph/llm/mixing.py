@@ -2,8 +2,8 @@
 
 Each source is cut into blocks. With weight w, its k-th block (from 0) is released at slot floor(k / w) and due by
 ceil((k + 1) / w); in every slot the released block with the earliest deadline goes. At every slot each source is then
-less than one block from its share. Weights are whole numbers of a period, over which releases and deadlines repeat. The
-period has at least as many slots as the table has blocks, so that rounding moves no source by a block in all of them.
+less than one block from its share. Weights are whole numbers of TICKS, so that windows are exact. What is decided slot by
+slot is bounded: blocks grow with the table so that there are never more than BLOCKS of them.
 """
 
 from __future__ import annotations
@@ -16,10 +16,15 @@ from pyspark.sql.window import Window
 
 from .common import col, materialise, rank_within, with_row
 
+#: Rows of a block, or as many more as keep the table at BLOCKS blocks.
 BLOCK = 16
-#: Periods are multiples of so many slots, which the fold over a period also takes at a time.
-PERIOD = 1024
-#: The slots of longer periods are joined, not broadcast.
+BLOCKS = 1 << 20
+#: Weights add up to this.
+TICKS = 1 << 40
+#: Slots that are scheduled one after the other, so many at a time. Blocks that are due later, which takes weights far from
+#: what the sources hold, follow by their releases.
+SLOTS, STEP = 2 * BLOCKS, 1024
+#: Longer schedules are joined, not broadcast.
 BROADCAST_SLOTS = 1 << 17
 #: Where no weights are given, a source's target is its number of rows to this power, which raises small sources.
 TEMPER = 0.9
@@ -47,32 +52,29 @@ def target_shares(counts: DataFrame, weights: Mapping[str | None, float] | None,
         "source", "n",
         (F.row_number().over(Window.orderBy("source")) - 1).alias("index"),
         (F.col("base") + F.when(F.row_number().over(by_rest) <= missing, 1).otherwise(0) + F.when(largest, F.least(missing, F.lit(0))).otherwise(0))
-        .cast("int").alias("share"),
+        .cast("long").alias("share"),
     )
 
 
-def one_period(shares: DataFrame, period: int) -> DataFrame:
-    """(index, k, slot, release, deadline) for the blocks of one period; one row of arrays, folded slot by slot, PERIOD slots at a
-    time, so that only short arrays are copied."""
+def earliest_deadline_first(shares: DataFrame, period: int, slots: int) -> DataFrame:
+    """(index, k, slot) for the first ``slots`` slots; one row of arrays, folded slot by slot, STEP slots at a time, so that only
+    short arrays are copied."""
     choice = f"""array_min(transform(sequence(0, size(shares) - 1), i ->
-        if(acc.done[i] < shares[i] AND (acc.done[i] * {period}) div shares[i] <= t,
-           named_struct('due', ((acc.done[i] + 1) * {period} + shares[i] - 1) div shares[i], 'i', i), null))).i"""
-    part = f"""aggregate(sequence(c * {PERIOD}, least((c + 1) * {PERIOD}, {period}) - 1),
+        if((acc.done[i] * {period}L) div shares[i] <= t,
+           named_struct('due', ((acc.done[i] + 1) * {period}L + shares[i] - 1) div shares[i], 'i', i), null))).i"""
+    part = f"""aggregate(sequence(c * {STEP}, least((c + 1) * {STEP}, {slots}) - 1),
         named_struct('done', all.done, 'order', cast(array() as array<int>)),
         (acc, t) -> transform(array({choice}), x -> named_struct(
             'done', transform(acc.done, (n, i) -> n + if(i = x, 1, 0)), 'order', concat(acc.order, array(x))))[0])"""
-    fold = f"""flatten(aggregate(sequence(0, ({period} - 1) div {PERIOD}),
+    fold = f"""flatten(aggregate(sequence(0, ({slots} - 1) div {STEP}),
         named_struct('done', transform(shares, x -> cast(0 as bigint)), 'orders', cast(array() as array<array<int>>)),
         (all, c) -> transform(array({part}), p -> named_struct('done', p.done, 'orders', concat(all.orders, array(p.order))))[0]).orders)"""
     row = shares.agg(F.array_sort(F.collect_list(F.struct("index", "share"))).alias("s")).select(F.col("s.share").alias("shares"))
-    slots = row.where("size(shares) > 0").select("shares", F.posexplode(F.expr(fold)).alias("slot", "index"))
     seen = Window.partitionBy("index").orderBy("slot")
-    blocks = slots.select("slot", "index", (F.row_number().over(seen) - 1).cast("long").alias("k"), F.expr("shares[index]").alias("share"))
-    return blocks.select(
-        "index", "k", "slot",
-        F.expr(f"(k * {period}) div share").alias("release"),
-        F.expr(f"((k + 1) * {period} + share - 1) div share").alias("deadline"),
-    )
+    return (
+        row.where("size(shares) > 0").select(F.posexplode(F.expr(fold)).alias("slot", "index"))
+        .select("index", (F.row_number().over(seen) - 1).cast("long").alias("k"), F.col("slot").cast("long").alias("slot"))
+    )
 
 
 def schedule(
@@ -80,7 +82,7 @@ def schedule(
     weights: Mapping[str | None, float] | None = None,
     source_col: str = "source",
     order_cols: tuple[str, ...] = ("doc_id",),
-    block: int = BLOCK,
+    block: int | None = None,
     period: int | None = None,
     temper: float = TEMPER,
 ) -> DataFrame:
@@ -90,43 +92,44 @@ def schedule(
     of the schedule: slot, position and the like are null and in_mix is false. in_mix marks the slots before the first for
     which a source has no row left: up to there every prefix keeps to the weights. ``position`` numbers
     the places of the schedule; short last blocks leave gaps. Rows go in order of the hash of ``order_cols``; ties and
-    repeated rows each have a place. Without ``period`` it follows from the blocks and sources; of a given one, at most a
-    quarter as many sources as it has slots can have a weight.
+    repeated rows each have a place. Null, empty and very long values in other columns are carried along; an empty table
+    gives an empty result. A ``period`` rounds the weights to so many slots.
     """
     rows = with_row(docs).withColumn("source", col("row").getField(source_col).cast("string"))
     rows = rows.withColumn("uid", F.monotonically_increasing_id())
-    counts = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    if period is None:
-        counts = materialise(counts, "counts")
-        blocks, sources = counts.agg(F.sum(F.expr(f"(n + {block} - 1) div {block}")), F.count(F.lit(1))).first()
-        period = PERIOD * -(-max(1, blocks or 0, 4 * sources) // PERIOD)
-    shares = materialise(target_shares(counts, weights, period, temper), "shares")
-    if shares.count() > period // 4:
-        raise ValueError(f"more than {period // 4} sources: raise the period with them")
-    slots = materialise(one_period(shares, period), "period")
-    small = F.broadcast if period <= BROADCAST_SLOTS else lambda x: x
-    horizon = shares.select(  # the first slot for which its source has nothing
-        "index", F.expr(f"(n + {block} - 1) div {block}").alias("full"), "share"
-    ).join(small(slots), "index").where("k = full % share").select((F.expr(f"full div share * {period}") + F.col("slot")).alias("slot"))
-    horizon = materialise(horizon.agg(F.min("slot").alias("horizon")), "horizon")
+    counts = materialise(rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")), "counts")
+    if block is None:
+        block = max(BLOCK, -(-(counts.agg(F.sum("n")).first()[0] or 0) // BLOCKS))
+    period = period or TICKS
+    shares = materialise(target_shares(counts, weights, period, temper).withColumn("full", F.expr(f"(n + {block} - 1) div {block}")), "shares")
+    last = shares.agg(F.max(F.ceil(F.col("full") * float(period) / F.col("share")))).first()[0] or 0
+    slots = min(int(last), SLOTS)
+    first = materialise(earliest_deadline_first(shares, period, max(1, slots)), "slots")
+    horizon = shares.join(first, "index").where("k = full").agg(F.coalesce(F.min("slot"), F.lit(slots)).alias("horizon"))
+    window = lambda k: f"cast({k} as decimal(20,0)) * {period}"
+    release, deadline = F.expr(f"({window('k')}) div share"), F.expr(f"({window('(k + 1)')} + share - 1) div share")
+    behind = (
+        shares.join(first.groupBy("index").agg((F.max("k") + 1).alias("from")), "index", "left")
+        .where("coalesce(from, 0) < full").select("index", "share", F.explode(F.expr("sequence(coalesce(from, 0), full - 1)")).alias("k"))
+        .select("index", "k", (F.row_number().over(Window.orderBy(release, deadline, "index")) - 1 + slots).cast("long").alias("slot"))
+    )
+    every = materialise(first.unionByName(behind), "schedule")
+    small = F.broadcast if every.count() <= BROADCAST_SLOTS else lambda x: x
     ranked = rank_within(
         rows.withColumn("key", F.coalesce("source", F.lit("\0null"))).withColumn("h", F.xxhash64(*[col("row").getField(c) for c in order_cols])),
         ["key"], ["h", "uid"],
     )
     of = shares.select(F.coalesce("source", F.lit("\0null")).alias("key"), "index", "share")
     placed = (
-        ranked.withColumn("block", F.expr(f"rank_ div {block}"))
+        ranked.withColumn("k", F.expr(f"rank_ div {block}"))
         .join(F.broadcast(of), "key", "left")
-        .withColumn("k", F.expr("block % share"))
-        .join(small(slots), ["index", "k"], "left")
+        .join(small(every), ["index", "k"], "left")
         .join(F.broadcast(horizon))
     )
-    turn = F.expr(f"(block div share) * {period}")
     return placed.select(
-        "row", "source", "block",
-        (turn + F.col("slot")).alias("slot"), (turn + F.col("release")).alias("release"), (turn + F.col("deadline")).alias("deadline"),
-        ((turn + F.col("slot")) * block + F.expr(f"rank_ % {block}")).alias("position"),
-        F.coalesce(turn + F.col("slot") < F.col("horizon"), F.lit(False)).alias("in_mix"),
+        "row", "source", F.col("k").alias("block"), "slot", release.alias("release"), deadline.alias("deadline"),
+        (F.col("slot") * block + F.expr(f"rank_ % {block}")).alias("position"),
+        F.coalesce(F.col("slot") < F.col("horizon"), F.lit(False)).alias("in_mix"),
     )
 
 

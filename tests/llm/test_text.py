@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import xxhash
@@ -98,6 +99,53 @@ def test_mixing_targets_are_not_rounded_to_a_fixed_period(spark):
         assert left and all(abs(done[s] - end * weights[s] / 65535) < 2 for s in left)
 
 
+def slow_schedule(weights, slots):
+    """Earliest deadline first by exact fractions: the source of each slot, ties to the first by name."""
+    w = {s: Fraction(x) / sum(map(Fraction, weights.values())) for s, x in sorted(weights.items())}
+    done, out = dict.fromkeys(w, 0), []
+    for t in range(slots):
+        ready = [(math.ceil((done[s] + 1) / x), s) for s, x in w.items() if done[s] / x < t + 1 and math.floor(done[s] / x) <= t]
+        out.append(min(ready)[1])
+        done[out[-1]] += 1
+    return out
+
+
+def test_mixing_is_the_schedule_by_exact_fractions(spark):
+    weights = {"a": 0.3337, "b": 0.6663, "c": 0.25, "d": 1.0}
+    df = spark.range(12_000).selectExpr("id AS doc_id", "element_at(array('a', 'b', 'c', 'd'), cast(id % 4 + 1 AS int)) AS source")
+    got = mixing.schedule(df, weights, block=2).select("slot", "source", "in_mix").distinct().collect()
+    order = [x["source"] for x in sorted(got, key=lambda x: x["slot"]) if x["in_mix"]]
+    ticks = {s: round(w / sum(weights.values()) * mixing.TICKS) for s, w in weights.items()}
+    assert len(order) > 3000 and order == slow_schedule(ticks, len(order))
+
+
+def test_mixing_keeps_within_a_block_of_the_true_weights(spark):
+    weights = {"a": 0.3337, "b": 0.6663}
+    df = spark.range(160_000).selectExpr("id AS doc_id", "if(id % 3 = 0, 'a', 'b') AS source")
+    got = mixing.schedule(df, weights, block=1).select("slot", "source", "in_mix").collect()
+    done = 0
+    order = [x["source"] for x in sorted(got, key=lambda x: x["slot"]) if x["in_mix"]]
+    assert len(order) > 100_000
+    for t, s in enumerate(order, 1):
+        done += s == "a"
+        assert abs(done - t * 0.3337) < 1 + 1e-6
+
+
+def test_mixing_goes_on_when_weights_are_far_from_the_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLOTS", 100)
+    df = spark.range(1000).selectExpr("id AS doc_id", "if(id < 900, 'many', 'few') AS source")
+    got = mixing.schedule(df, {"many": 0.001, "few": 0.999}, block=2).collect()
+    assert len({x["position"] for x in got}) == 1000 and len({x["slot"] for x in got}) == 500
+    assert mixing.schedule(df, {"few": 1.0}).where("slot IS NOT NULL").count() == 100
+
+
+def test_mixing_blocks_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCKS", 50)
+    df = spark.range(10_000).selectExpr("id AS doc_id", "concat('s', id % 3) AS source")
+    got = mixing.schedule(df).select("source", "block").distinct()
+    assert 50 <= got.count() <= 53
+
+
 def test_mixing_takes_any_number_of_sources(spark):
     df = spark.range(1200).selectExpr("id AS doc_id", "concat('s', id % 400) AS source")
     got = mixing.schedule(df).collect()
