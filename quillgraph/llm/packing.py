@@ -48,11 +48,14 @@ class Encoder(dict):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+            file = json.load(f)
+        vocab, added = file["model"]["vocab"], {t["content"]: t["id"] for t in file.get("added_tokens", ())}
+        self.added = {x: np.array([i], "<u4").tobytes() for x, i in added.items()}
+        self.cuts = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True))))
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in printable]
         byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
-        ranks = {bytes(byte[c] for c in token): i for token, i in vocab.items() if not token.startswith("<|")}
+        ranks = {bytes(byte[c] for c in token): i for token, i in vocab.items() if token not in added}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self._encode = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
@@ -63,7 +66,15 @@ class Encoder(dict):
         return ids
 
     def ids(self, text: str) -> bytes:
-        return b"".join([self[c] for c in _CHUNKS.findall(text)])
+        """The tokenizer's added tokens have their own ids wherever they stand; what is between them is cut on its own."""
+        if not any(map(text.__contains__, self.added)):
+            return b"".join([self[c] for c in _CHUNKS.findall(text)])
+        out, at = [], 0
+        for found in self.cuts.finditer(text):
+            out += [self[c] for c in _CHUNKS.findall(text[at : found.start()])]
+            out.append(self.added[found[0]])
+            at = found.end()
+        return b"".join(out + [self[c] for c in _CHUNKS.findall(text[at:])])
 
 
 @cache

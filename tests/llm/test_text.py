@@ -229,9 +229,9 @@ def test_encoder_gives_the_tokenizer_s_ids():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.tokenizer_path())
-    t.encode_special_tokens = True
     r = random.Random(3)
     texts = [x or "" for x in TEXTS] + ["".join(r.choice("ab'st .,\n\t\r  1é 　-_\x0b\x1f") for _ in range(60)) for _ in range(300)]
+    texts += ["".join(r.choice(["<|endoftext|>", " ", "a", "\n", "<|", "endoftext", "|>", " b", "\t"]) for _ in range(12)) for _ in range(300)]
     enc = packing.Encoder(packing.tokenizer_path())
     for x in texts:
         assert np.frombuffer(enc.ids(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
