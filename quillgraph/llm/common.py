@@ -56,6 +56,16 @@ def with_row(df: DataFrame, name: str = "row") -> DataFrame:
     return df.select(F.struct(*[col(c) for c in df.columns]).alias(name))
 
 
+def numbered(df: DataFrame, name: str = "row", uid: str = "uid") -> DataFrame:
+    """(row, uid): whole rows, each with a number that is the same whenever ``df`` is read.
+
+    A scan gives the same rows in the same partitions each time; what comes out of a shuffle need not, and is written first.
+    """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        df = materialise(df, "numbered")
+    return with_row(df, name).withColumn(uid, F.monotonically_increasing_id())
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

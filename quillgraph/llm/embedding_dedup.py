@@ -57,6 +57,7 @@ class Hashes:
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(1, keepdims=True)  # so that no square is too large or too small
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 

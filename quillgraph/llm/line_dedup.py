@@ -15,7 +15,7 @@ from .common import col, materialise, release, shuffle_partitions, with_row
 from .components import connected_components
 
 TAU = 2
-#: Shorter lines (after white space is reduced) are never compared nor dropped.
+#: Shorter lines (after white space is reduced) are the same only if equal: two edits make too many of them into others.
 MIN_CHARS = 20
 #: Lines with 1/HEAVY of all occurrences or more are at most so many: their first places are broadcast.
 HEAVY = 50_000
@@ -23,19 +23,23 @@ HEAVY = 50_000
 FILTER_WORDS = 1 << 17
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """doc_id, line_no (from 0), line, h1, h2 for the lines that are long enough; h1 and h2 make 128 bits of identity."""
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text_hash, line_no (from 0), line, h1, h2 for the lines that are not blank; h1 and h2 make 128 bits of identity."""
     reduced = F.coalesce(col(text_col).cast("string"), F.lit(""))
     for white in "\t\x0b\x0c\r":
         reduced = F.replace(reduced, F.lit(white), F.lit(" "))
     reduced = F.when(reduced.contains("  "), F.regexp_replace(reduced, " {2,}", " ")).otherwise(reduced)
-    lines = docs.select(col(id_col).alias("doc_id"), F.posexplode(F.split(reduced, "\n")).alias("line_no", "line"))
-    lines = lines.withColumn("line", F.trim("line")).where(F.length("line") >= min_chars)
-    return lines.select("doc_id", "line_no", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
+    lines = docs.select(col(id_col).alias("doc_id"), _text_hash(col(text_col)).alias("text_hash"), F.posexplode(F.split(reduced, "\n")).alias("line_no", "line"))
+    lines = lines.withColumn("line", F.trim("line")).where("line <> ''")
+    return lines.select("doc_id", "text_hash", "line_no", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
 
 
 def _place() -> Column:
-    return F.struct(F.isnull("doc_id").alias("last"), "doc_id", "line_no")
+    return F.struct(F.isnull("doc_id").alias("last"), "doc_id", "text_hash", "line_no")
 
 
 def _segment(i: int, less: int, tau: int) -> tuple[Column, Column]:
@@ -108,13 +112,13 @@ def near_lines(lines: DataFrame, distinct: DataFrame, tau: int) -> DataFrame:
     n = F.length("line")
     lengths = {"n_": n} | {f"base{k}_": F.floor((n - k) / (tau + 1)).cast("int") for k in range(tau + 1)} | {f"rest{k}_": F.pmod(n - k, F.lit(tau + 1)) for k in range(tau + 1)}
     once = (  # lengths are taken below the join, so that they are taken once
-        lines.select("doc_id", "line_no", "h1", "h2", "line", *[c.alias(k) for k, c in lengths.items()]).join(F.broadcast(heavy), ["h1", "h2"], "left")
+        lines.select("doc_id", "text_hash", "line_no", "h1", "h2", "line", *[c.alias(k) for k, c in lengths.items()]).join(F.broadcast(heavy), ["h1", "h2"], "left")
         .where(F.isnull("first") | (F.col("first") == _place())).select("h1", "line", *lengths)
     )
-    keyed = lambda name, keys: once.select(F.col("h1").alias(name), F.explode(F.array(*keys)).alias("key")).where("key IS NOT NULL").repartition("key")
-    # lines that occur a few times are still there a few times: made one after the shuffle by key, without another
-    index = keyed("a", segment_keys(tau)).dropDuplicates(["key", "a"])
-    probes = keyed("b", probe_keys(tau)).dropDuplicates(["key", "b"])
+    # lines that occur a few times are still there a few times. The joins' own shuffles are the only ones, so that a key that
+    # holds many lines can be split among tasks.
+    keyed = lambda name, keys: once.select(F.col("h1").alias(name), F.explode(F.array(*keys)).alias("key")).where("key IS NOT NULL")
+    index, probes = keyed("a", segment_keys(tau)), keyed("b", probe_keys(tau))
     same = index.join(index.withColumnRenamed("a", "b"), "key").where("a < b")
     met = same.unionByName(index.join(probes, "key").where("a <> b"))
     pairs = materialise(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
@@ -146,31 +150,32 @@ def near_lines(lines: DataFrame, distinct: DataFrame, tau: int) -> DataFrame:
     return links
 
 
-def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
-    """One row per line of ``min_chars`` or more: doc_id, line_no, class_doc_id, class_line_no (the first line of its
+def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, min_chars: int = MIN_CHARS, with_hash: bool = False) -> DataFrame:
+    """One row per line that is not blank: doc_id, line_no, class_doc_id, class_line_no (the first line of its
     class by document and place), kept.
 
-    Lines are compared without leading, trailing and repeated white space. Null and empty texts have no such line. A null
-    id comes last. Rows that repeat an id count as the same document: its lines stay in all of them. Other columns are not
-    read. Classes are those connected by links of ``tau`` edits or fewer, over all documents and within them.
+    Lines are compared without leading, trailing and repeated white space. Those of ``min_chars`` or more link within
+    ``tau`` edits, shorter ones if equal; classes are those connected by links, over all documents and within them. Null
+    and empty texts have no line, an empty table gives an empty result. A null id comes last. Rows that repeat both id and
+    text count as the same document: its lines stay in all of them; of rows that repeat the id alone, each is a document.
+    Other columns are not read.
     """
-    lines = lines_of(docs, id_col, text_col, min_chars)
-    lines = materialise(lines, "lines")
+    lines = materialise(lines_of(docs, id_col, text_col), "lines")
     distinct = materialise(
         lines.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n"))
         .withColumn("nid", F.monotonically_increasing_id()),
         "distinct",
     )
-    links = near_lines(lines, distinct, tau)
+    links = near_lines(lines.where(F.length("line") >= min_chars), distinct, tau)
     labels = connected_components(links, "x", "y").select(F.col("node").alias("nid"), F.col("component_id").alias("root"))
     members = distinct.join(labels, "nid").select("h1", "h2", "root", "first")
     merged = members.join(members.groupBy("root").agg(F.min("first").alias("class")), "root").select("h1", "h2", "class")
     classes = distinct.join(merged, ["h1", "h2"], "left").select("h1", "h2", "n", F.coalesce("class", "first").alias("class"))
     classes = materialise(classes, "classes")
     return (
-        lines.select("doc_id", "line_no", "h1", "h2").join(classes, ["h1", "h2"])
+        lines.select("doc_id", "text_hash", "line_no", "h1", "h2").join(classes, ["h1", "h2"])
         .select(
-            "doc_id", "line_no", F.col("class.doc_id").alias("class_doc_id"), F.col("class.line_no").alias("class_line_no"),
+            "doc_id", *["text_hash"] * with_hash, "line_no", F.col("class.doc_id").alias("class_doc_id"), F.col("class.line_no").alias("class_line_no"),
             (F.col("class") == _place()).alias("kept"),
         )
     )
@@ -179,11 +184,13 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = None, **how) -> DataFrame:
     """``docs`` with every line gone whose class has an earlier one; ``chars_col`` is brought up to date.
 
-    All rows and columns stay; a document of which no line is left has the empty text.
+    All rows and columns stay, null texts and ids and repeated rows as in ``line_classes``; a document of which no line is
+    left has the empty text. An empty table gives an empty result.
     """
-    gone = line_classes(docs, id_col, text_col, **how).where("NOT kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
+    gone = line_classes(docs, id_col, text_col, with_hash=True, **how).where("NOT kept").groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("gone"))
     rows = with_row(docs)
-    joined = rows.join(gone, rows["row"].getField(id_col).eqNullSafe(gone["doc_id"]), "left")
+    mine = rows["row"].getField(id_col).eqNullSafe(gone["doc_id"]) & (_text_hash(rows["row"].getField(text_col)) == gone["text_hash"])
+    joined = rows.join(gone, mine, "left")
     text = F.col("row").getField(text_col)
     left = F.array_join(F.filter(F.split(text.cast("string"), "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
     text = F.when(F.isnull("gone"), text).otherwise(left)

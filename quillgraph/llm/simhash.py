@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, materialise, release
+from .common import col, materialise, numbered, release
 from .components import connected_components
 from .pairs import bucketed, per_run, roots, run_pairs, union, whole_runs
 
@@ -61,16 +61,16 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     return fold(shingles(text, size))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the 64 bits as a long)."""
-    source = docs.select(col(id_col).alias("doc_id"), col(text_col).cast("string").alias("text"))
+def _fingerprints(source: DataFrame, size: int) -> DataFrame:
+    """``source`` (doc_id, text, ...) with fp in the place of text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t.as_py(), size) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), *batch.columns[2:]], ["doc_id", "fp", *batch.schema.names[2:]])
 
-    return source.mapInArrow(work, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, fp long")
+    schema = source.withColumn("text", F.lit(0).cast("long")).withColumnRenamed("text", "fp").schema
+    return source.mapInArrow(work, schema)
 
 
 def pivots(n: int = PIVOTS) -> np.ndarray:
@@ -121,9 +121,16 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Fingerprints link at ``max_bits`` or fewer differing bits; component_id is the smallest doc_id reachable. Null and
     empty texts have fingerprint zero, linked like any other. Null ids come last; exactly one row of a component is kept,
-    also where rows repeat. Other columns are not read.
+    also where rows repeat. An empty table gives an empty result. Other columns are not read.
     """
-    prints = materialise(fingerprints(docs, id_col, text_col, size).withColumn("uid", F.monotonically_increasing_id()), "prints")
+    return _grouped(numbered(docs), id_col, text_col, size, max_bits).drop("uid")
+
+
+def _grouped(rows: DataFrame, id_col: str, text_col: str, size: int, max_bits: int) -> DataFrame:
+    """The result of ``simhash_dedup`` and uid, for ``rows`` (row, uid)."""
+    of = F.col("row").getField
+    source = rows.select(of(id_col).alias("doc_id"), of(text_col).cast("string").alias("text"), "uid")
+    prints = materialise(_fingerprints(source, size), "prints")
     first = F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "uid"))
     distinct = materialise(prints.groupBy("fp").agg(first.alias("first")), "distinct")
     links = linked(distinct.select("fp"), max_bits)
@@ -137,14 +144,15 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.col("first.doc_id").alias("component_id"),
         (F.col("uid") == F.col("first.uid")).alias("kept"),
+        "uid",
     )
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs``, one of each component. Rows that share an id are copies of one document: one of them stays."""
-    keep = simhash_dedup(docs, id_col, text_col, **how).where("kept").select(F.col("doc_id").alias("keep_")).distinct()
-    kept = docs.join(keep, col(id_col).eqNullSafe(F.col("keep_")), "left_semi")
-    return kept.dropDuplicates([id_col])
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of ``docs``, exactly one of each component: that of the smallest id, null last."""
+    rows = numbered(docs)
+    keep = _grouped(rows, id_col, text_col, size, max_bits).where("kept").select("uid")
+    return rows.join(keep, "uid", "left_semi").select("row.*")
 
 
 def radius(similarity: float, missed: float = MISSED) -> int:
@@ -177,7 +185,7 @@ def _digest(sets: np.ndarray) -> int:
 
 
 def similar(docs: DataFrame, distinct: DataFrame, similarity: float, size: int) -> DataFrame:
-    """Links (a, b) between the digests of shingle sets whose Jaccard similarity is ``similarity`` or more.
+    """Links (a, b) between the digests of shingle sets of ``docs`` (text, uid) whose Jaccard similarity is ``similarity`` or more.
 
     Candidates share a minhash bucket and have sizes that allow the similarity; the pivot table and the fingerprints discard
     those beyond ``radius``; what is left is compared shingle by shingle.
@@ -204,8 +212,7 @@ def similar(docs: DataFrame, distinct: DataFrame, similarity: float, size: int)
 
     pairs = materialise(per_run(rows.select("digest", "fp", "n", "key_", "block_", "split_"), work, "a long, b long").distinct(), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-    ids = distinct.join(wanted, "digest", "left_semi").select(F.col("first.doc_id").alias("wanted_"))
-    texts = docs.join(ids.distinct(), docs["doc_id"].eqNullSafe(F.col("wanted_")), "left_semi").select("text")
+    texts = docs.join(distinct.join(wanted, "digest", "left_semi").select("first.uid"), "uid", "left_semi").select("text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,25 +237,29 @@ def similar(docs: DataFrame, distinct: DataFrame, similarity: float, size: int)
 
 
 def keep_similar(docs: DataFrame, similarity: float, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, one of each component of documents whose sets of word shingles link at Jaccard ``similarity``.
+    """The rows of ``docs``, exactly one of each component of texts whose sets of word shingles link at Jaccard ``similarity``.
 
-    The smallest id stays, null last; texts without words are alike. Rows that share an id are copies of one document.
+    The row of the smallest id stays, null last; ties and repeated rows leave one. Null, empty and blank texts have no
+    shingles and are alike. Rows that share an id but not the text are compared like any others. An empty table gives an
+    empty result.
     """
-    source = docs.select(col(id_col).alias("doc_id"), col(text_col).cast("string").alias("text"))
+    rows = numbered(docs)
+    of = F.col("row").getField
+    source = rows.select(of(id_col).alias("doc_id"), of(text_col).cast("string").alias("text"), "uid")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.unique(shingles(t.as_py(), size)) for t in batch.column(1)]
             longs = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             bands = pa.array([_minhashes(s).view(np.int64) if len(s) else [] for s in sets], pa.list_(pa.int64()))
-            columns = [batch.column(0), longs([_digest(s) for s in sets]), longs([fold(s) for s in sets]), pa.array([len(s) for s in sets], pa.int64()), bands]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "fp", "n", "bands"])
+            columns = [batch.column(0), batch.column(2), longs([_digest(s) for s in sets]), longs([fold(s) for s in sets]), pa.array([len(s) for s in sets], pa.int64()), bands]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "uid", "digest", "fp", "n", "bands"])
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    sketches = source.mapInArrow(work, f"doc_id {kind}, digest long, fp long, n long, bands array<long>")
-    first = F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id")).alias("first")
+    sketches = source.mapInArrow(work, f"doc_id {kind}, uid long, digest long, fp long, n long, bands array<long>")
+    first = F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "uid")).alias("first")
     distinct = materialise(sketches.groupBy("digest").agg(first, *[F.first(c).alias(c) for c in ("fp", "n", "bands")]), "sketches")
     labels = connected_components(similar(source, distinct, similarity, size)).select(F.col("node").alias("digest"), F.col("component_id").alias("root"))
     rooted = distinct.join(labels, "digest", "left").select(F.coalesce("root", "digest").alias("root"), "first")
-    keep = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("keep_")).distinct()
-    return docs.join(keep, col(id_col).eqNullSafe(F.col("keep_")), "left_semi").dropDuplicates([id_col])
+    keep = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.uid")
+    return rows.join(keep, "uid", "left_semi").select("row.*")

@@ -88,17 +88,19 @@ def line_case(seed):
 
 
 def brute_lines(docs, tau=2, least=20):
+    """By document and place; lines under ``least`` characters are the same if equal."""
     lines = {}
     for d, t in docs:
         for n, line in enumerate((t or "").split("\n")):
             line = re.sub(r"[\x20\x09\x0B-\x0D]+", " ", line).strip(" ")
-            if len(line) >= least:
+            if line:
                 lines[(d is None, d or 0, n)] = line
     sets, keys = Sets(), sorted(lines)
     for i, a in enumerate(keys):
         sets.find(a)
         for b in keys[:i]:
-            if abs(len(lines[a]) - len(lines[b])) <= tau and (lines[a] == lines[b] or levenshtein(lines[a], lines[b]) <= tau):
+            near = min(len(lines[a]), len(lines[b])) >= least and abs(len(lines[a]) - len(lines[b])) <= tau
+            if lines[a] == lines[b] or near and levenshtein(lines[a], lines[b]) <= tau:
                 sets.join(a, b)
     show = lambda k: (None if k[0] else k[1], k[2])
     return {show(k): (show(sets.find(k)), sets.find(k) == k) for k in keys}
@@ -123,6 +125,28 @@ def test_repeated_lines_go_and_everything_else_stays(spark):
     assert line_dedup.line_classes(df.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id_keep_their_own_lines(spark):
+    one, two = "a line that comes twice in all", "a line of its own, nowhere else"
+    df = spark.createDataFrame([(1, one + "\n" + two), (2, two[::-1] + "\n" + one), (2, one[::-1] + "\n" + two[:9] * 3), (None, "ok"), (None, "ok\n\nhi")], "doc_id long, text string")
+    got = sorted(map(str, (x["text"] for x in line_dedup.drop_repeated_lines(df).collect())))
+    assert len(got) == 5 and got.count("ok") + got.count("ok\n\nhi") >= 1
+    assert one[::-1] + "\n" + two[:9] * 3 in got and two[::-1] in got
+
+
+def test_many_lines_of_one_series(spark):
+    """Lines that share all but a few digits: one key holds them all."""
+    lines = [f"this notice line is number {i * 7919 % 10**9:09d} of the long series of notices" for i in range(0, 1500)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    got = {x["doc_id"]: x["class_doc_id"] for x in line_dedup.line_classes(df).collect()}
+    sets = Sets()
+    for i, a in enumerate(lines):  # two substitutions at most, or one insertion and one deletion
+        for j in range(i):
+            b = lines[j]
+            if sum(x != y for x, y in zip(a[27:36], b[27:36])) <= 2 or (a[27:36][1:] in b[27:36] or a[27:36][:-1] in b[27:36]):
+                sets.join(i, j)
+    assert sum(got[i] == sets.find(i) for i in got) >= 0.99 * len(got) and len(set(got.values())) <= len({sets.find(i) for i in got})
+
+
 @pytest.mark.parametrize("k", [2, 256])
 def test_exact_dedup(spark, k):
     r = random.Random(2)
@@ -238,3 +262,12 @@ def test_embedding_links_match_brute_force(spark, monkeypatch, block):
     assert 0.97 * total <= found <= total
     assert all(got[i]["n_links"] <= n[i] for i in n)
     assert all(got[i]["component_id"] == (sets.find(i) if i in good else i) for i in got)
+
+
+def test_embeddings_of_any_size_link(spark):
+    v = [1.0, 2.0, -0.5, 0.25]
+    rows = [(i, [x * scale for x in v]) for i, scale in enumerate([1.0, 1e200, 1e-200, 3e-160, -1.0])] + [(9, None), (10, [0.0] * 4)]
+    got = {x["vec_id"]: (x["n_links"], x["component_id"]) for x in embedding_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {0: (3, 0), 1: (3, 0), 2: (3, 0), 3: (3, 0), 4: (0, 4), 9: (0, 9), 10: (0, 10)}
+    empty = spark.createDataFrame([], "vec_id long, embedding array<double>")
+    assert embedding_dedup.embedding_dedup(empty).count() == 0 and simhash.simhash_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
