@@ -42,32 +42,25 @@ def _place() -> Column:
     return F.struct(F.isnull("doc_id").alias("last"), "doc_id", "text_hash", "line_no")
 
 
-def _segment(i: int, less: int, tau: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of segment i of a line that is ``less`` shorter; the last ones take what division leaves."""
-    base, rest = F.col(f"base{less}_"), F.col(f"rest{less}_")
-    return base * i + F.greatest(F.lit(0), rest - (tau + 1 - i)), base + F.when(rest >= tau + 1 - i, 1).otherwise(0)
+def segment_keys(lines: DataFrame, name: str, tau: int, own: bool) -> DataFrame:
+    """(name, key) from (h1, line): keys of a line's ``own`` segments, or of its substrings that may be segment i of a line
+    that is ``less`` shorter; its own are not among these.
 
-
-def _key(i: int, start: Column, size: Column, indexed: Column) -> Column:
-    return F.xxhash64(F.substring(F.col("line"), start + 1, size), F.lit(i), indexed)
-
-
-def segment_keys(tau: int) -> list[Column]:
-    return [_key(i, *_segment(i, 0, tau), F.col("n_")) for i in range(tau + 1)]
-
-
-def probe_keys(tau: int) -> list[Column]:
-    """Keys of the substrings that may be segment i of a line that is ``less`` shorter. Its own segments are not among
-    them. With i edits at most left of a segment, and tau - i right of it, its place can shift by no more."""
-    n, keys = F.col("n_"), []
+    With i edits at most left of a segment, and tau - i right of it, its place can shift by no more. Places are exploded
+    before any key is made, so that the generated code is one small loop.
+    """
+    segments, places = tau + 1, []
     for less in range(tau + 1):
-        for i in range(tau + 1):
-            start, size = _segment(i, less, tau)
+        for i in range(segments):
             for shift in range(max(-i, less - (tau - i)), min(i, less + tau - i) + 1):
-                if less or shift:
-                    at = start + shift
-                    keys.append(F.when((at >= 0) & (at + size <= n), _key(i, at, size, n - less)))
-    return keys
+                if own == (not less and not shift):
+                    places.append(f"named_struct('i', {i}, 'less', {less}, 'shift', {shift})")
+    x = lines.select("h1", "line", F.length("line").alias("n"), F.explode(F.expr(f"array({', '.join(places)})")).alias("x"))
+    x = x.selectExpr("h1", "line", "n", "x.i AS i", "n - x.less AS m", "x.shift AS shift")
+    x = x.selectExpr("h1", "line", "n", "i", "m", "shift", f"m div {segments} AS base", f"m % {segments} - ({segments} - i) AS over")
+    # the last segments take what division leaves
+    x = x.selectExpr("h1", "line", "n", "i", "m", "cast(base * i + greatest(0, over) + shift AS int) AS at", "cast(base + if(over >= 0, 1, 0) AS int) AS size")
+    return x.where("at >= 0 AND at + size <= n").selectExpr(f"h1 AS {name}", "xxhash64(substring(line, at + 1, size), i, cast(m AS int)) AS key")
 
 
 def edit_distance(short: str, long: str, tau: int) -> Column:
@@ -109,16 +102,13 @@ def near_lines(lines: DataFrame, distinct: DataFrame, tau: int) -> DataFrame:
     """Links (a, b) between the line numbers ``nid`` of ``distinct`` whose lines are within ``tau`` edits."""
     total = distinct.agg(F.sum("n")).first()[0] or 0
     heavy = distinct.where(F.col("n") >= max(2, total / HEAVY)).select("h1", "h2", "first")
-    n = F.length("line")
-    lengths = {"n_": n} | {f"base{k}_": F.floor((n - k) / (tau + 1)).cast("int") for k in range(tau + 1)} | {f"rest{k}_": F.pmod(n - k, F.lit(tau + 1)) for k in range(tau + 1)}
-    once = (  # lengths are taken below the join, so that they are taken once
-        lines.select("doc_id", "text_hash", "line_no", "h1", "h2", "line", *[c.alias(k) for k, c in lengths.items()]).join(F.broadcast(heavy), ["h1", "h2"], "left")
-        .where(F.isnull("first") | (F.col("first") == _place())).select("h1", "line", *lengths)
+    once = (
+        lines.select("doc_id", "text_hash", "line_no", "h1", "h2", "line").join(F.broadcast(heavy), ["h1", "h2"], "left")
+        .where(F.isnull("first") | (F.col("first") == _place())).select("h1", "line")
     )
     # lines that occur a few times are still there a few times. The joins' own shuffles are the only ones, so that a key that
     # holds many lines can be split among tasks.
-    keyed = lambda name, keys: once.select(F.col("h1").alias(name), F.explode(F.array(*keys)).alias("key")).where("key IS NOT NULL")
-    index, probes = keyed("a", segment_keys(tau)), keyed("b", probe_keys(tau))
+    index, probes = segment_keys(once, "a", tau, True), segment_keys(once, "b", tau, False)
     same = index.join(index.withColumnRenamed("a", "b"), "key").where("a < b")
     met = same.unionByName(index.join(probes, "key").where("a <> b"))
     pairs = materialise(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
