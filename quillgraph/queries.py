@@ -495,7 +495,11 @@ OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "udf_query": (udf_query, "SELECT 'http://example.org/part/' || p_partkey AS p, p_retailprice * 2 AS twice FROM part"),
     "pvalues_query": (pvalues_query, "SELECT 'http://example.org/part/' || p_partkey AS p, p_brand AS b FROM part"),
     "facade_df": (facade_df, "SELECT r_name AS n, r_regionkey AS k FROM region"),
-    "uuid_v5": (uuid_v5, None),
+    "uuid_v5": (
+        uuid_v5,
+        """SELECT n, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS u
+           FROM (SELECT r_name AS n, lower(sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(r_name))) AS h FROM region)""",
+    ),
 }
 
 
