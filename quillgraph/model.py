@@ -368,7 +368,9 @@ class Model:
         blanks = {t.name for x in template for t in (x.s, x.o) if isinstance(t, BlankNode)}
         df = R.plain(s).df
         if blanks:
-            df = materialise(df.withColumn("__fresh", F.replace(F.uuid(), F.lit("-"), F.lit(""))))
+            df = df.withColumn("__fresh", F.replace(F.uuid(), F.lit("-"), F.lit("")))
+        if blanks or omit_empty and len(template) > 1:  # the pattern is evaluated once, not for each triple
+            df = materialise(df)
 
         def options(t: Term) -> list[tuple[str, Any]]:
             if isinstance(t, Variable):

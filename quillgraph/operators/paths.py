@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import materialise
@@ -58,26 +59,40 @@ def repeat(edges: Solutions, kind: str, start: Column | None = None, end: Column
     return R.distinct(R.union([out, zero])) if kind == "*" else out
 
 
+class _Growing:
+    """Rows that come in rounds. What is there is not written again, but for now and then, when its parts have become many."""
+
+    def __init__(self, first: DataFrame, most: int = 16):
+        self.parts, self.most = [first], most
+
+    def add(self, new: DataFrame) -> None:
+        self.parts.append(new)
+        if len(self.parts) > self.most:
+            self.parts = [materialise(self.all())]
+
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.union, self.parts)
+
+
 def closure(e: Solutions) -> Solutions:
     """p+: the newest pairs meet all pairs, on both sides, until there are none."""
-    known = materialise(e.df.distinct())
-    new = known
+    new = materialise(e.df.distinct())
+    grown = _Growing(new)
     while not new.isEmpty():
+        known = grown.all()
         a = new.select(R.col(S), R.col(O).alias("m")).join(known.select(R.col(S).alias("m"), R.col(O)), "m").select(S, O)
         b = known.select(R.col(S), R.col(O).alias("m")).join(new.select(R.col(S).alias("m"), R.col(O)), "m").select(S, O)
         new = materialise(a.union(b).distinct().join(known, [S, O], "left_anti"))
-        known = materialise(known.union(new))
-    return Solutions(known, dict(e.types))
+        grown.add(new)
+    return Solutions(grown.all(), dict(e.types))
 
 
 def reach(e: Solutions, start: Column) -> Solutions:
     """Pairs (start, end) of p+ from one node, by frontiers."""
     frontier = materialise(e.df.where(R.col(S) == start).select(R.col(O).alias("n")).distinct())
-    known = frontier
+    grown = _Growing(frontier)
     while not frontier.isEmpty():
         step = frontier.join(e.df.select(R.col(S).alias("n"), R.col(O)), "n").select(R.col(O).alias("n")).distinct()
-        frontier = materialise(step.join(known, "n", "left_anti"))
-        known = materialise(known.union(frontier))
-    return Solutions(known.select(start.alias(S), F.col("n").alias(O)), dict(e.types))
-
-
+        frontier = materialise(step.join(grown.all(), "n", "left_anti"))
+        grown.add(frontier)
+    return Solutions(grown.all().select(start.alias(S), F.col("n").alias(O)), dict(e.types))

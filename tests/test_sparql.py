@@ -184,3 +184,10 @@ def test_exists_within_exists(spark):
     assert ask("EXISTS { ?x e:r ?y FILTER NOT EXISTS { ?y e:k ?z } }") == {"http://e/c", "http://e/f"}
     assert ask("EXISTS { ?x e:r ?y FILTER EXISTS { ?y e:w ?w FILTER(?w = ?v) } }") == {"http://e/c"}
     assert ask("NOT EXISTS { ?x e:r ?y FILTER EXISTS { ?y e:w ?w FILTER(?w = ?v) } }") == {"http://e/a", "http://e/f"}
+
+
+def test_a_long_chain_is_reached_in_rounds(spark):
+    m = Model(spark)
+    m.reads("@prefix e: <http://e/> . " + " ".join(f"e:n{i} e:p e:n{i + 1} ." for i in range(20)), "turtle")
+    assert m.query("SELECT (COUNT(*) AS ?n) WHERE { ?a <http://e/p>+ ?b }").first()[0] == 210
+    assert m.query("SELECT (COUNT(*) AS ?n) WHERE { <http://e/n0> <http://e/p>+ ?b }").first()[0] == 20
