@@ -33,8 +33,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document lies in the training sequences; a null or empty text is a piece of one id."""
-    return packing.pack_documents(docs)
+    """Where each piece of each document lies in the training sequences, which are numbered so that they follow the order that the
+    documents were mixed in; a null or empty text is a piece of one id."""
+    return packing.pack_documents(docs, in_turn=True)
 
 
 STAGES = [

@@ -3,7 +3,7 @@
 What must be decided together is only how lengths combine, so bins are planned on the histogram of lengths, which has at
 most ``capacity`` rows whatever the corpus holds. A plan is a list of patterns (how many pieces of which length share a
 sequence) with multiplicities; each pattern uses up at least one length, so the plan stays small as well. Pieces then find
-their place by their salted rank within their length.
+their place by their salted rank within their length; or, in turn, so that sequences follow the order of the documents.
 """
 
 from __future__ import annotations
@@ -16,14 +16,18 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import col, materialise, rank_within
 
 CAPACITY = 2048
 #: Words that a Python worker keeps encoded (about 60 MB); the others are encoded each time they come.
 CACHED_WORDS = 300_000
+#: Sequences of one pattern that are counted out by one row of the plan.
+RUN = 1 << 16
 
 _SPACE = "\t-\r \x85\xa0  -     　"
 #: No token crosses these chunks: the tokenizer's own pattern lets only one space lead a run of other characters.
@@ -88,12 +92,25 @@ def spans(n: int, capacity: int) -> list[tuple[int, int]]:
     return ([(0, first)] if first else []) + [(s, capacity) for s in range(first, n, capacity)]
 
 
+def placed(docs: DataFrame, wanted: list[Column]) -> DataFrame:
+    """The columns ``wanted`` and file_, row_: the order in which the rows were written, where ``docs`` reads a table (a scan takes its
+    files in another), else that of its partitions."""
+    try:
+        info = docs.metadataColumn("_metadata")
+        return docs.select(*wanted, info.getField("file_path").alias("file_"), info.getField("row_index").alias("row_"))
+    except AnalysisException:
+        row = F.monotonically_increasing_id()
+        return docs.select(*wanted, F.lpad(F.shiftright(row, 33).cast("string"), 10, "0").alias("file_"), F.expr(f"monotonically_increasing_id() & {(1 << 33) - 1}L").alias("row_"))
+
+
 def token_pieces(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False, in_turn: bool = False
 ) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 (and ids): whole texts in tokens, an end id 0 after each; null is empty."""
+    """doc_id, piece, start, length, ids_crc32 (and ids; file_ and row_, where the row is): whole texts in tokens, an end id 0
+    after each; null is empty."""
     path = path or tokenizer_path()
-    source = docs.select(col(id_col).alias("doc_id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
+    wanted = [col(id_col).alias("doc_id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text")]
+    source = placed(docs, wanted) if in_turn else docs.select(*wanted)
     schema = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,9 +128,11 @@ def token_pieces(
                             ids.append(np.frombuffer(part_ids, "<u4").astype("i4"))
                 columns = [part.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+                if in_turn:
+                    columns, names = columns + [part.column(k).take(pa.array(row, pa.int64())) for k in (2, 3)], [*names, "file_", "row_"]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, names + ["ids"] * with_ids)
 
-    return source.mapInArrow(cut, schema + ", ids array<int>" * with_ids)
+    return source.mapInArrow(cut, schema + ", file_ string, row_ long" * in_turn + ", ids array<int>" * with_ids)
 
 
 def best_two_fit(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -188,12 +207,56 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     )
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+def pack_in_turn(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """As ``pack``, into the same number of sequences, for pieces with file_ and row_: sequences are numbered from 0 by the mean
+    place of what they hold, and of each length the pieces go to a pattern's sequences in their own order.
+
+    A pattern's sequences are spread evenly over all; a length's pieces take its places from the first to the last.
+    """
+    pieces = materialise(pieces, "pieces")
+    counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most ``capacity`` rows
+    runs, places = [], []
+    for p, (pattern, times) in enumerate(best_two_fit(counts, capacity)):
+        phase, offset = (p * 0.6180339887498949 + 0.5) % 1, 0  # patterns that come once are spread as well
+        runs += [(p, float(times), phase, at, min(times, at + RUN) - 1) for at in range(0, times, RUN)]
+        for n, q in sorted(pattern.items(), reverse=True):
+            places.append((p, n, q, offset))
+            offset += n * q
+    spark = pieces.sparkSession
+    files = pieces.groupBy("file_").agg((F.max("row_") + 1).alias("n_"))
+    before = Window.orderBy("file_").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select("file_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("before_"), F.sum("n_").over(Window.partitionBy()).alias("all_"))
+    turns = pieces.join(F.broadcast(files), "file_").withColumn("turn_", F.col("before_") + F.col("row_"))
+    ranked = rank_within(turns, ["length"], ["turn_", "piece"], share=F.col("turn_") / F.col("all_"))
+    sequences = (
+        spark.createDataFrame(runs, "p long, times_ double, phase_ double, from_ long, to_ long").repartition(max(1, min(len(runs), 64)))
+        .select("p", "times_", "phase_", F.explode(F.sequence("from_", "to_")).alias("j"))
+        .select("p", "j", ((F.col("j") + F.col("phase_")) / F.col("times_")).alias("share_"))
+    )
+    slots = (
+        sequences.join(F.broadcast(spark.createDataFrame(places, "p long, length long, q_ long, at_ long")), "p")
+        .select("p", "j", "share_", "length", "at_", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_") - 1)).alias("copy_"))
+    )
+    slots = rank_within(slots, ["length"], ["share_", "p", "copy_"], share=F.col("share_"))
+    slots = slots.select("p", "j", "length", "rank_", (F.col("at_") + F.col("copy_") * F.col("length")).cast("long").alias("offset"))
+    put = materialise(ranked.join(slots, ["length", "rank_"]), "put")
+    middle = put.groupBy("p", "j").agg((F.sum(F.col("length") * F.col("turn_")) / F.sum(F.col("length") * F.col("all_"))).alias("middle_"))
+    numbers = rank_within(middle.withColumn("one_", F.lit(1)), ["one_"], ["middle_", "p", "j"], out="sequence_id", share=F.col("middle_"))
+    out = put.join(numbers.select("p", "j", F.col("sequence_id").cast("long").alias("sequence_id")), ["p", "j"])
+    return out.select(*[c for c in pieces.columns if c not in ("file_", "row_")], "sequence_id", "offset")
+
+
+def pack_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, in_turn: bool = False
+) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. With ``in_turn`` the sequences follow the
+    order of ``docs``.
 
     Null and empty texts are a piece of one id, the end. Rows that repeat are packed each, nulls in the id are kept, ties in
     length are placed in any order, an empty table gives no sequences. Other columns are not read.
     """
+    if in_turn:
+        return pack_in_turn(token_pieces(docs, id_col, text_col, path, capacity, in_turn=True), capacity)
     return pack(token_pieces(docs, id_col, text_col, path, capacity), capacity)
 
 

@@ -6,6 +6,7 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).parents[2]))
 import corpus_pipeline
+from quillgraph.llm import packing
 
 SF = "/root/testdata/sf0.001"
 
@@ -58,6 +59,33 @@ def test_a_source_that_ends_drops_no_row_of_another(spark):
         assert max(n) - min(n) <= 64
 
 
+def test_sequences_follow_the_mix(spark, tmp_path):
+    r = random.Random(6)
+    rows = [(i, "a " * r.choice([5, 50, 300, 900, r.randint(1, 3000)])) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(7, "doc_id").sortWithinPartitions("doc_id")
+    docs.write.parquet(f"{tmp_path}/mixed")
+    docs = spark.read.parquet(f"{tmp_path}/mixed")
+    out = corpus_pipeline.packing_stage(spark, docs, SF).collect()
+    held = {}
+    for x in out:
+        held.setdefault(x["sequence_id"], []).append(x)
+    assert sorted(held) == list(range(len(held)))
+    plain = packing.pack_documents(docs).collect()
+    assert len(held) == len({x["sequence_id"] for x in plain})  # no looser than without an order
+    piece = lambda x: (x["doc_id"], x["piece"], x["start"], x["length"], x["ids_crc32"])
+    assert sorted(map(piece, out)) == sorted(map(piece, plain))
+    for pieces in held.values():
+        end = 0
+        for x in sorted(pieces, key=lambda x: x["offset"]):
+            assert x["offset"] == end
+            end += x["length"]
+        assert end <= packing.CAPACITY
+    part = len(held) // 5  # a fifth of the sequences holds few pieces from far away in the mix
+    for k in range(5):
+        ids = [x["doc_id"] for s in range(k * part, (k + 1) * part) for x in held[s] for _ in range(x["length"])]
+        assert sum(600 * k - 300 <= i < 600 * k + 900 for i in ids) > 0.8 * len(ids)
+
+
 ODD = ["uid", "row", "text_hash", "gone", "digest", "kept", "keep_", "bad_", "slot", "k", "length", "fp"]
 
 
