@@ -12,7 +12,6 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import col, materialise, rank_within
+from .common import col, keep, materialise, rank_within
 
 CAPACITY = 2048
 #: Words that a Python worker keeps encoded (about 60 MB); the others are encoded each time they come.
@@ -81,9 +80,8 @@ class Encoder(dict):
         return b"".join(out + [self[c] for c in _CHUNKS.findall(text[at:])])
 
 
-@cache
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return keep(f"encoder {path}", lambda: Encoder(path))
 
 
 def spans(n: int, capacity: int) -> list[tuple[int, int]]:

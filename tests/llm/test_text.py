@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import weakref
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -12,7 +13,7 @@ import xxhash
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph.llm import license_scan, lm_score, mixing, packing, quality, url_filter
+from quillgraph.llm import common, license_scan, lm_score, mixing, packing, quality, url_filter
 from quillgraph.llm.url_filter import Rule
 
 
@@ -223,6 +224,40 @@ def test_quality_classifier(spark):
     assert all(x["kept"] for x in quality.classify(docs, labels.limit(0)).collect())
 
 
+def test_keep_good_leaves_rows_in_their_partitions(spark):
+    r = random.Random(3)
+    text = lambda i: " ".join(r.choice(["the", "cat", "sat", "on", "mats"]) for _ in range(40)) if i % 5 else "#$%&*xqzj{}" * 30
+    docs = spark.createDataFrame([(i, text(i), "en") for i in range(200)], "doc_id long, text string, lang string").repartition(3, "doc_id")
+    docs = common.materialise(docs.withColumn("part", F.spark_partition_id()))
+    docs = docs.withColumn("part", F.spark_partition_id())
+    labels = spark.createDataFrame([(i, int(i % 5 > 0), 0) for i in range(100)], "doc_id long, quality int, toxic int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # tables as large as they may get
+    try:
+        kept = quality.keep_good(docs, labels).withColumn("now", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {x["doc_id"] for x in kept} == {x["doc_id"] for x in quality.classify(docs, labels).collect() if x["kept"]}
+    assert 100 < len(kept) < 200 and len({x["part"] for x in kept}) > 1 and all(x["part"] == x["now"] for x in kept)
+
+
+def test_without_drops_just_the_rows_of_its_numbers(spark):
+    rows = common.numbered(spark.range(0, 100_000, 1, 2)).withColumn("id", F.col("row.id"))
+    for gone in ("id % 7 = 3", "id IN (0, 1, 7, 8, 32767, 32768, 49999, 50000, 99999)", "id < 0", "id >= 0"):
+        left = common.without(rows, rows.where(gone).select("uid"))
+        assert left.columns == rows.columns
+        assert [x["id"] for x in left.orderBy("id").collect()] == [x["id"] for x in rows.where(f"NOT ({gone})").orderBy("id").collect()]
+
+
+def test_a_worker_forgets_the_encoder_of_an_earlier_query():
+    enc = packing.encoder(packing.tokenizer_path())
+    assert packing.encoder(packing.tokenizer_path()) is enc
+    gone = weakref.ref(enc)
+    del enc
+    common.forget()
+    assert gone() is None
+
+
 def test_quality_models_and_thresholds_come_from_all_trusted_texts(spark):
     r = random.Random(5)
     words = {"en": ["the", "cat", "sat", "on", "mats"], "fr": ["le", "chat", "est", "assis", "ici"]}
