@@ -484,6 +484,37 @@ def test_lm_sample_is_bounded_whatever_one_text_holds(spark):
     assert lm_score.sample_texts(docs.limit(0), sizes.limit(0), 900) == []
 
 
+def test_lexicon_encodes_words_all_at_once(monkeypatch):
+    import tiktoken
+
+    calls, encode = [], tiktoken.Encoding.encode_ordinary
+    monkeypatch.setattr(tiktoken.Encoding, "encode_ordinary", lambda self, text: calls.append(text) or encode(self, text))
+    r = random.Random(3)
+    parts = ["a", "b's", "'s", "'", "1", "23", "the", "-", "...", "\u00e9", "\u4e2d", "\u0301", "\u0130", "\u200b", "\ufeff", "\x00", "\U0001f600"]
+    spaces = ["\u00a0", "\u3000", "\u2003", "\x85", "\x1c"]
+    word = lambda of: "".join(r.choice(of) for _ in range(r.randint(1, 5)))
+    plain, odd = sorted({word(parts) for _ in range(3000)}), sorted(w for w in {word(parts[:4] + spaces) for _ in range(300)} if w.split() != [w])
+    words = plain + [*odd, lm_score.END]
+    r.shuffle(words)
+    slots = {u: u % lm_score.TAIL for u in range(2 * 50_257 + 1)}
+    lex = lm_score.Lexicon(lm_score.tokenizer_path(), slots, ({}, 0), lm_score.Counts(lm_score.word_hashes(words[:5]), np.arange(1, 6)))
+    at = lex.numbers(words)
+    assert len(calls) <= len(odd) + 1 < len(words) // 2
+    units = [lex.units(w) for w in words]
+    assert lex.size[at].tolist() == [*map(len, units)] and lex.tokens(at).tolist() == [slots[u] for x in units for u in x]
+    assert lex.count[at].tolist() == [1, 2, 3, 4, 5] + [-1] * (len(words) - 5)
+    assert lex.numbers(words[7:3:-1]).tolist() == [7, 6, 5, 4]  # known by now
+
+
+@pytest.mark.parametrize("shift", [0.0, 200.0, -200.0])
+def test_log_softmax_of_any_logits(shift):
+    r = np.random.default_rng(2)
+    z, i = (r.standard_normal((50, lm_score.MEMBERS)) * 3 + shift).astype(np.float32), r.integers(0, lm_score.MEMBERS, 50).astype(np.uint16)
+    log_softmax = lambda x: x - np.log(np.exp(x - x.max()).sum()) - x.max()
+    want = [log_softmax(x)[k] for x, k in zip(z.astype(np.float64), i)]
+    assert np.allclose(lm_score._pick(z, i), want, atol=1e-4)
+
+
 def test_lexicon_keeps_the_common_words():
     counts = {f"w{i}": 3 * i for i in range(1500, 3000)}
     lex = lm_score.Lexicon(lm_score.tokenizer_path(), {}, ({}, 0), lm_score.Counts(lm_score.word_hashes([*counts]), np.array([*counts.values()])))
