@@ -11,6 +11,8 @@ from ..functions.values import Value, by_kind, pack, read
 from ..terms import Solutions, native
 
 KEY = "__k_"
+#: rows of one key that meet at once, of either side, where both can have many
+BLOCK = 2048
 
 
 def col(name: str) -> Column:
@@ -89,6 +91,34 @@ def _match(left: Solutions, right: Solutions, how: str) -> tuple[Solutions, Data
     return Solutions(ldf, out_types, set(left.maybe), dict(left.keys)), rdf, condition, [names[v] for v in shared if v not in keyed] + [f"__rk_{v}" for v in keyed], possible
 
 
+def _in_blocks(ldf: DataFrame, rdf: DataFrame, lkeys: list[str], rkeys: list[str], lof: str, rof: str) -> tuple[DataFrame, DataFrame, Column]:
+    """Both sides of a join in which a key can have many rows on either, made ready so that its pairs are shared out: a key's
+    rows are cut into blocks, and each block of one side meets each of the other in a group of its own. What a key costs is
+    copies of its rows, at most two in ``BLOCK`` of its pairs; a key within a block on both sides is left as it is."""
+    spark = ldf.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+    def blocks(df: DataFrame, keys: list[str], side: str) -> DataFrame:
+        # at most one row in BLOCK of the side's
+        named = [col(k).alias(f"__{side}{i}") for i, k in enumerate(keys)]
+        return F.broadcast(df.groupBy(*named).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(f"__{side}n")).where(F.col(f"__{side}n") > 1))
+
+    def placed(df: DataFrame, keys: list[str], of: str, own: str, other: str, name: str) -> DataFrame:
+        names = df.columns
+        for side, by in (("x", lkeys), ("y", rkeys)):
+            test = F.lit(True)
+            for i, k in enumerate(keys):
+                test = test & (col(k) == F.col(f"__{side}{i}"))
+            df = df.join(blocks(ldf if side == "x" else rdf, by, side), test, "left")
+        some = lambda side: F.coalesce(f"__{side}n", F.lit(1))
+        block = {own: F.pmod(F.xxhash64(col(of)), some(own)).cast("int"), other: F.explode(F.sequence(F.lit(0), some(other) - 1))}
+        df = df.select(*[col(c) for c in names], *[block[side].alias(name + side) for side in "xy"])
+        return df.repartition(tasks, *[col(k) for k in keys], name + "x", name + "y")
+
+    left, right = placed(ldf, lkeys, lof, "x", "y", "__lb"), placed(rdf, rkeys, rof, "y", "x", "__rb")
+    return left, right.hint("merge"), (F.col("__lbx") == F.col("__rbx")) & (F.col("__lby") == F.col("__rby"))
+
+
 def join(left: Solutions, right: Solutions, how: str = "inner", extra: Callable[[dict], Column] | None = None) -> Solutions:
     """Equi-join on every shared variable; unbound equals unbound only. ``extra`` makes a further condition from the types
     of both sides. Without a shared variable it is a product, and Spark plans it as one."""
@@ -102,6 +132,12 @@ def join(left: Solutions, right: Solutions, how: str = "inner", extra: Callable[
         condition = F.lit(False)
         if how == "inner":
             return empty(spark, types)
+    shared = set(left.types) & set(right.types)
+    if how == "inner" and shared and left.of and right.of and not {left.of, right.of} & shared and not shared & (left.maybe | right.maybe):
+        order = sorted(shared)
+        lkeys, rkeys = zip(*[(KEY + v, f"__rk_{v}") if f"__rk_{v}" in gone else (v, f"__r_{v}") for v in order])
+        lefted.df, rdf, same = _in_blocks(lefted.df, rdf, list(lkeys), list(rkeys), *[KEY + s.of if s.of in s.keys else s.of for s in (left, right)])
+        condition, gone = condition & same, [*gone, "__lbx", "__lby", "__rbx", "__rby"]
     if how in ("left_semi", "left_anti"):
         df = lefted.df.join(rdf, condition if condition is not None else F.lit(True), how)
         return Solutions(df, lefted.types, left.maybe, left.keys)
@@ -115,7 +151,8 @@ def join(left: Solutions, right: Solutions, how: str = "inner", extra: Callable[
     if how == "inner":  # a variable that one side always binds is bound
         maybe -= {v for v in left.types if v in right.types and not (v in left.maybe and v in right.maybe)}
     keys = dict(left.keys) | {v: k for v, k in right.keys.items() if v in new}
-    return Solutions(df, types, maybe, keys, how == "inner" and (left.none or right.none))
+    of = (left.of if right.of in shared else right.of if left.of in shared else None) if how == "inner" else None
+    return Solutions(df, types, maybe, keys, how == "inner" and (left.none or right.none), of)
 
 
 def minus(left: Solutions, right: Solutions) -> Solutions:
@@ -144,7 +181,7 @@ def union(parts: list[Solutions]) -> Solutions:
         part = conform(Solutions(p.df, p.types, p.maybe, {v: p.keys[v] for v in keys}), types, keys=True)
         df = part if df is None else df.unionByName(part)
     maybe = {v for v in names if any(v in p.maybe or not p.types.get(v) for p in parts)}
-    return Solutions(df, types, maybe, keys)
+    return Solutions(df, types, maybe, keys, of=parts[0].of if len({p.of for p in parts}) == 1 else None)
 
 
 def project(s: Solutions, names: list[str], strict: bool = False) -> Solutions:

@@ -107,7 +107,7 @@ class Planner:
 
     def _star(self, s: str, members: list[tuple[A.Triple, tuple, Part]]) -> Solutions:
         first: Origin = members[0][2].origin
-        out = Solutions(None, {s: (members[0][1][2],)})
+        out = Solutions(None, {s: (members[0][1][2],)}, of=s)
         cols, tests = [first.subject.alias(s)], []
         if first.subject_key:
             cols.append(F.col(f"`{first.subject_key[1]}`").alias(KEY + s))
@@ -161,7 +161,7 @@ class Planner:
             df, s_col, o_col, s_key, o_key = o.frame, o.subject, o.object, o.subject_key, o.object_key
         else:
             df, s_col, o_col, s_key, o_key = part.df, F.col("subject"), F.col("object"), None, None
-        out, cols = Solutions(None, {}), {}
+        out, cols = Solutions(None, {}, of=t.s.name if isinstance(t.s, Variable) else None), {}
         if o and not o.unique:
             df, s_col, o_col, s_key, o_key = part.df, F.col("subject"), F.col("object"), None, None
         elif o and not o.total:
@@ -306,7 +306,7 @@ class Planner:
         s, scope = self._with_exists(s, e, graph)
         known = self._key_test(s, e)
         test = known if known is not None else boolean(evaluate(e, scope))
-        return Solutions(s.df.where(test), s.types, s.maybe, s.keys, s.none)
+        return Solutions(s.df.where(test), s.types, s.maybe, s.keys, s.none, s.of)
 
     def _key_test(self, s: Solutions, e: Any) -> Column | None:
         """?x = <iri> on the raw key."""

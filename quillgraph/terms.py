@@ -267,7 +267,8 @@ class Solutions:
     """Query rows: a DataFrame whose columns are variables, the types each may have, and those that may be unbound.
 
     A variable of one type is a plain column; one of several is a struct with a field per type of which at most one is not
-    null. ``keys`` says how an IRI column was made: (prefix, raw column) lets joins and filters use the raw key.
+    null. ``keys`` says how an IRI column was made: (prefix, raw column) lets joins and filters use the raw key. ``of`` is the
+    variable that rows are about: the subject of a scan, with or without what others add by their own subject.
     """
 
     df: object
@@ -275,3 +276,4 @@ class Solutions:
     maybe: set[str] = field(default_factory=set)
     keys: dict[str, tuple[str, str]] = field(default_factory=dict)
     none: bool = False  # no table can give it a row
+    of: str | None = None

@@ -191,3 +191,23 @@ def test_a_long_chain_is_reached_in_rounds(spark):
     m.reads("@prefix e: <http://e/> . " + " ".join(f"e:n{i} e:p e:n{i + 1} ." for i in range(20)), "turtle")
     assert m.query("SELECT (COUNT(*) AS ?n) WHERE { ?a <http://e/p>+ ?b }").first()[0] == 210
     assert m.query("SELECT (COUNT(*) AS ?n) WHERE { <http://e/n0> <http://e/p>+ ?b }").first()[0] == 20
+
+
+def test_pairs_of_a_key_with_many_rows_are_shared_out(spark, model, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from quillgraph.operators import relational
+
+    monkeypatch.setattr(relational, "BLOCK", 8)
+    table = [(i, 0 if i < 100 else i, i % 37) for i in range(110)]
+    m = Model(spark)
+    m.map_table(spark.createDataFrame(table, "id long, k long, x long"), "http://e/t/", "id", {"http://e/k": "k", "http://e/x": "x"}, "http://e/T")
+    out = m.query(PRE + "SELECT ?a ?b WHERE { ?a :k ?k ; :x ?x . ?b :k ?k ; :x ?y FILTER(?x < ?y) }", native=True)
+    want = sorted((f"http://e/t/{a}", f"http://e/t/{b}") for a, k, x in table for b, m, y in table if k == m and x < y)
+    assert sorted(map(tuple, out.collect())) == want
+    held = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(held) >= 8 and max(held) < len(want) / 3  # before, one task made them all
+    # objects of several types, and a side with a single row
+    assert rows(model, "SELECT ?a ?b WHERE { ?a :knows ?o . ?b :boss|:knows ?o }") == rows(model, "SELECT ?a ?b WHERE { ?a :knows ?o . ?b :knows ?p FILTER(?o = ?p) }")
+    assert len(rows(model, "SELECT ?a ?n ?b WHERE { ?a :age ?n . ?b :age ?n }")) == 2
+    assert len(m.query(PRE + "SELECT ?a ?b WHERE { ?a :x ?v . ?b :k ?v FILTER(?a != ?b) }").collect()) == sum(a != b and x == k for a, _, x in table for b, k, _ in table)
