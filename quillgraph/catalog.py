@@ -76,18 +76,18 @@ class Catalog:
             out = out.unionByName(f)
         return out
 
-    def insert(self, key: Key, df: DataFrame, transient: bool = False, origin: Origin | None = None) -> DataFrame:
+    def insert(self, key: Key, df: DataFrame, transient: bool = False, origin: Origin | None = None, unlike: bool = False) -> DataFrame:
         """Add (subject, object) rows; returns those that are new. Nothing runs where the key was empty.
 
-        A graph is a set: rows are made distinct (a mapped table whose subject is unique is already) and kept apart from what
-        is there. A transient triple that becomes permanent is no longer transient.
+        A graph is a set: rows are made distinct (a mapped table whose subject is unique is already, and ``unlike`` rows are) and
+        kept apart from what is there. A transient triple that becomes permanent is no longer transient.
         """
         s, o = native(key[2]), native(key[3])
         if origin is None:
             kind = df.schema["object"].dataType
             keep = kind.typeName() in ("timestamp_ntz", "array")
             df = df.select(F.col("subject").cast(s).alias("subject"), (F.col("object") if keep else F.col("object").cast(o)).alias("object")).where("subject IS NOT NULL AND object IS NOT NULL")
-        if origin is None or not origin.unique:
+        if not unlike and (origin is None or not origin.unique):
             df = df.distinct()
         entry = self.entries.setdefault(key, Entry())
         against = entry.permanent + (entry.transient if transient else [])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import read
@@ -18,11 +18,27 @@ _TEXT = rf"""((?:[^"\\\r\n]++|\\[tbnrf"'\\]|{_CODE})*+)"""
 _BLANK = r"_:([^\s<>\".]++(?:\.++[^\s<>\".]++)*+)"
 _LINE = rf'^\x{{FEFF}}?[ \t]*(?:{_IRI}|{_BLANK})[ \t]*{_IRI}[ \t]*(?:{_IRI}|{_BLANK}|"{_TEXT}"(?:@([A-Za-z]++(?:-[A-Za-z0-9]++)*+)|\^\^{_IRI})?)[ \t]*\.[ \t]*(?:#.*)?$'
 _NOTHING = r"^\x{FEFF}?\s*(#.*)?$"
+#: The groups of a triple's line between line breaks, which none of them can hold.
+_GROUPS = "".join(f"\n${i}" for i in range(1, 9)) + "\n"
+#: Types whose terms are equal only if their texts are.
+AS_TEXT = (IRI_T, BLANK_T, STRING, LANGSTRING)
 _PLAIN = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f", '"': '"', "'": "'", "\\": "\\"}
 
 
-def unescaped(c: Column) -> Column:
-    """Backslash escapes, each read once from left to right."""
+def _eased(c: Column) -> Column:
+    """The commonest escapes of a text without line breaks replaced; a carriage return and a stand for a backslash until all
+    others are read. Null where there are none."""
+    pairs = (("\\\\", "\ra"), ("\\n", "\n"), ('\\"', '"'))
+    eased = c
+    for a, b in pairs:
+        eased = F.replace(eased, F.lit(a), F.lit(b))
+    return F.when(c.contains("\\"), eased)
+
+
+def unescaped(c: Column, eased: Column | None = None) -> Column:
+    """Backslash escapes of a text without line breaks, each read once from left to right: most are replaced in turn, texts with
+    codes are taken apart. ``eased`` is a column that holds ``_eased(c)``, which is read several times."""
+    eased = _eased(c) if eased is None else eased
 
     def one(x: Column) -> Column:
         of = F.create_map(*[F.lit(v) for kv in _PLAIN.items() for v in kv])
@@ -30,26 +46,32 @@ def unescaped(c: Column) -> Column:
         return F.when(~x.startswith("\\"), x).when(F.substring(x, 2, 1).isin("u", "U"), code).otherwise(of[F.substring(x, 2, 1)])
 
     parts = F.regexp_extract_all(c, F.lit(rf"([^\\]++|{_CODE}|\\.)"), F.lit(1))
-    return F.when(c.contains("\\"), F.array_join(F.transform(parts, one), "")).otherwise(c)
+    quick = F.replace(eased, F.lit("\\r"), F.lit("\rb"))
+    for k in "tbf'":
+        quick = F.replace(quick, F.lit("\\" + k), F.lit(_PLAIN[k]))
+    quick = F.replace(F.replace(quick, F.lit("\ra"), F.lit("\\")), F.lit("\rb"), F.lit("\r"))
+    coded = eased.contains("\\u") | eased.contains("\\U")
+    return F.when(eased.isNull(), c).when(~eased.contains("\\"), F.replace(eased, F.lit("\ra"), F.lit("\\"))).when(coded, F.array_join(F.transform(parts, one), "")).otherwise(quick)
 
 
 def parse(lines: DataFrame, blank_suffix: str) -> DataFrame:
     """(st, s, p, ot, o, lang, bad, ill) from (value): subject and object with their types. Of a line that is no triple
     ``bad`` is the line, of one whose literal is no value of its datatype ``ill``; empty lines and comments are left out."""
-    part = lambda i: F.regexp_extract("value", _LINE, i)
+    part = lambda i: F.col("parts")[i]
     some = lambda c: F.when(c != "", c)
-    right = F.col("value").rlike(_LINE)
-    raw = lines.where(~F.col("value").rlike(_NOTHING)).select(
-        some(part(1)).alias("si"), some(part(2)).alias("sb"), some(part(3)).alias("p"), some(part(4)).alias("oi"), some(part(5)).alias("ob"),
-        F.when(right, part(6)).alias("text"), some(part(7)).alias("lang"), some(part(8)).alias("dt"), F.when(~right, F.col("value")).alias("bad"), "value",
-    )
+    right = F.size("parts") == 10
+    once = F.split(F.regexp_replace("value", _LINE, _GROUPS), "\n")  # the line is matched once; where it doesn't, it stays
+    raw = lines.where(F.col("value").startswith("<") | ~F.col("value").rlike(_NOTHING)).select("value", once.alias("parts")).select(
+        *[F.when(right, some(part(i))).alias(c) for i, c in ((1, "si"), (2, "sb"), (3, "p"), (4, "oi"), (5, "ob"), (7, "lang"), (8, "dt"))],
+        F.when(right, part(6)).alias("text"), F.when(~right, F.col("value")).alias("bad"), "value",
+    ).withColumn("eased", _eased(F.col("text")))
     label = lambda c: F.concat(F.col(c), F.lit(blank_suffix))
     out = raw.select(
         F.when(F.col("si").isNotNull(), IRI_T).when(F.col("sb").isNotNull(), BLANK_T).alias("st"),
         F.coalesce(unescaped(F.col("si")), label("sb")).alias("s"),
         unescaped(F.col("p")).alias("p"),
         F.when(F.col("bad").isNull(), F.when(F.col("oi").isNotNull(), IRI_T).when(F.col("ob").isNotNull(), BLANK_T).when(F.col("lang").isNotNull(), LANGSTRING).otherwise(F.coalesce(unescaped(F.col("dt")), F.lit(STRING)))).alias("ot"),
-        F.coalesce(unescaped(F.col("oi")), label("ob"), unescaped(F.col("text"))).alias("o"),
+        F.coalesce(unescaped(F.col("oi")), label("ob"), unescaped(F.col("text"), F.col("eased"))).alias("o"),
         "lang", "bad", "value",
     )
     ill = F.lit(False)
@@ -60,14 +82,18 @@ def parse(lines: DataFrame, blank_suffix: str) -> DataFrame:
 
 def read_ntriples(spark: SparkSession, path: str, blank_suffix: str, checked: bool = True) -> list[tuple[tuple[str, str, str], DataFrame]]:
     """((predicate, subject type, object type), rows) of a file or folder. The text is read once, and kept sorted by those
-    three so that each table reads its own row groups."""
+    three so that each table reads its own pages."""
     return split(parse(spark.read.text(path), blank_suffix), checked)
 
 
 def split(parsed: DataFrame, checked: bool = True) -> list[tuple[tuple[str, str, str], DataFrame]]:
     """A line that is no triple is an error; unless ``checked``, it is left out. Literals that are no value of their
-    datatype are left out with a warning."""
-    kept = materialise(parsed.repartitionByRange("p", "st", "ot", "s").sortWithinPartitions("p", "st", "ot"))
+    datatype are left out with a warning. Triples are left once each, so tables of ``AS_TEXT`` types need no ``distinct``."""
+    triple = ["p", "st", "ot", "s", "o", "lang"]
+    # placed by hash: a range would have all lines parsed once more, for a sample
+    again = F.row_number().over(Window.partitionBy(*triple).orderBy("bad"))
+    numbered = parsed.repartition("p", "st", "ot", "s").withColumn("again", again)
+    kept = materialise(numbered.where((F.col("again") == 1) | F.col("bad").isNotNull() | F.col("ill").isNotNull()).drop("again"))
     many = [f(c).alias(f"{k}_{c}") for c in ("bad", "ill") for k, f in (("n", F.count), ("some", lambda c: F.min(F.substring(c, 1, 200))))]
     found = kept.groupBy("p", "st", "ot").agg(*many, F.count_if(F.isnull("bad") & F.isnull("ill")).alias("good")).collect()  # a row per predicate and types
     for c, says in (("bad", "lines are no triple"), ("ill", "literals are no value of their datatype and are left out")):

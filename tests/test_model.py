@@ -245,3 +245,28 @@ def test_literals_of_no_value_are_left_out_with_a_warning(spark, tmp_path):
     text = '<http://e/0> <http://e/p> "fine" .\n<http://e/1> <http://e/p> "abc"^^<http://www.w3.org/2001/XMLSchema#integer> .\n'
     with pytest.warns(UserWarning, match="1 literals"):
         assert _lines(spark, tmp_path, text, "c.nt") == [("http://e/0", "fine")]
+
+
+def test_ntriples_lines_are_matched_once_and_texts_are_told_apart_at_reading(spark, tmp_path):
+    import random
+
+    from quillgraph.sources import ntriples
+
+    plan = ntriples.parse(spark.createDataFrame([], "value string"), "_0")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(value") == 1 and "regexp_extract(value" not in plan  # before, eight matches and three tests a line
+    pick = random.Random(5)
+    texts = ["".join(pick.choice('ab\\"\n\r\t\'\b\fnrtuU0é\u2028\x00') for _ in range(12)) for _ in range(600)]
+    code = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t", "'": "\\'", "\b": "\\b", "\f": "\\f"}
+    mixed = lambda t: "".join(code.get(c, c) if c != "é" or pick.random() < 0.7 else "\\u00E9" for c in t)
+    lines = [f'<http://e/{i}> <http://e/p> "{mixed(t)}" .' for i, t in enumerate(texts)]
+    lines += ['<http://e/n> <http://e/q> "7"^^<http://www.w3.org/2001/XMLSchema#integer> .', '<http://e/n> <http://e/q> "07"^^<http://www.w3.org/2001/XMLSchema#integer> .']
+    lines += ['<http://e/n> <http://e/l> "b" .\u2028', '<http://e/n> <http://e/l> "a"@en .', '<http://e/n> <http://e/l> "a"@de .']
+    (tmp_path / "nt").mkdir()
+    for name in ("a.nt", "b.nt"):  # every triple twice, in files of their own
+        (tmp_path / "nt" / name).write_bytes(("\n".join(lines) + "\n").encode())
+    m = Model(spark)
+    m.read(str(tmp_path / "nt"), "ntriples")
+    got = {r["s"]: r["o"] for r in m.query("SELECT ?s ?o WHERE { ?s <http://e/p> ?o }", native=True).collect()}
+    assert got == {f"http://e/{i}": t for i, t in enumerate(texts)} and m.size() == 600 + 1 + 3
+    (text,) = [m.catalog.rows(k) for k in m.catalog.entries if k[1] == "http://e/p"]
+    assert "Aggregate" not in text._jdf.queryExecution().executedPlan().toString()  # before, whole texts were shuffled again
