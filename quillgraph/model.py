@@ -221,8 +221,8 @@ class Model:
             raise GraphError(f"unknown format of {path!r}")
         if kind == "ntriples":
             self._parses += 1
-            for (p, st, ot), df in ntriples.read_ntriples(self.spark, path, f"_{self._parses - 1}", checked):
-                self.catalog.insert((graph_name(graph), p, st, ot), df, transient, unlike=ot in ntriples.AS_TEXT)
+            for (p, st, ot), df, unlike in ntriples.read_ntriples(self.spark, path, f"_{self._parses - 1}", checked):
+                self.catalog.insert((graph_name(graph), p, st, ot), df, transient, unlike=unlike)
         else:
             self.reads(Path(path).read_text(encoding="utf-8-sig"), kind, base_iri, transient, graph, known_contexts)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.values import read
@@ -21,7 +21,7 @@ _NOTHING = r"^\x{FEFF}?\s*(#.*)?$"
 #: The groups of a triple's line between line breaks, which none of them can hold.
 _GROUPS = "".join(f"\n${i}" for i in range(1, 9)) + "\n"
 #: Types whose terms are equal only if their texts are.
-AS_TEXT = (IRI_T, BLANK_T, STRING, LANGSTRING)
+_AS_TEXT = (IRI_T, BLANK_T, STRING, LANGSTRING)
 _PLAIN = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f", '"': '"', "'": "'", "\\": "\\"}
 
 
@@ -80,20 +80,18 @@ def parse(lines: DataFrame, blank_suffix: str) -> DataFrame:
     return out.withColumn("ill", F.when(ill, F.col("value"))).drop("value")
 
 
-def read_ntriples(spark: SparkSession, path: str, blank_suffix: str, checked: bool = True) -> list[tuple[tuple[str, str, str], DataFrame]]:
-    """((predicate, subject type, object type), rows) of a file or folder. The text is read once, and kept sorted by those
-    three so that each table reads its own pages."""
+def read_ntriples(spark: SparkSession, path: str, blank_suffix: str, checked: bool = True) -> list[tuple[tuple[str, str, str], DataFrame, bool]]:
+    """((predicate, subject type, object type), rows, whether no row is known to be there twice) of a file or folder. The text
+    is read once, and each task's lines are kept sorted by those three so that each table reads its own pages."""
     return split(parse(spark.read.text(path), blank_suffix), checked)
 
 
-def split(parsed: DataFrame, checked: bool = True) -> list[tuple[tuple[str, str, str], DataFrame]]:
+def split(parsed: DataFrame, checked: bool = True) -> list[tuple[tuple[str, str, str], DataFrame, bool]]:
     """A line that is no triple is an error; unless ``checked``, it is left out. Literals that are no value of their
-    datatype are left out with a warning. Triples are left once each, so tables of ``AS_TEXT`` types need no ``distinct``."""
-    triple = ["p", "st", "ot", "s", "o", "lang"]
-    # placed by hash: a range would have all lines parsed once more, for a sample
-    again = F.row_number().over(Window.partitionBy(*triple).orderBy("bad"))
-    numbered = parsed.repartition("p", "st", "ot", "s").withColumn("again", again)
-    kept = materialise(numbered.where((F.col("again") == 1) | F.col("bad").isNotNull() | F.col("ill").isNotNull()).drop("again"))
+    datatype are left out with a warning. Whether a table has a row twice
+    is told by hashes, so that whole texts are moved only where some are equal."""
+    hashed = parsed.withColumn("hash", F.xxhash64("p", "st", "ot", "s", "o", "lang"))
+    kept = materialise(hashed.sortWithinPartitions("p", "st", "ot"))  # where they are: no text is moved, or parsed for a sample
     many = [f(c).alias(f"{k}_{c}") for c in ("bad", "ill") for k, f in (("n", F.count), ("some", lambda c: F.min(F.substring(c, 1, 200))))]
     found = kept.groupBy("p", "st", "ot").agg(*many, F.count_if(F.isnull("bad") & F.isnull("ill")).alias("good")).collect()  # a row per predicate and types
     for c, says in (("bad", "lines are no triple"), ("ill", "literals are no value of their datatype and are left out")):
@@ -103,13 +101,16 @@ def split(parsed: DataFrame, checked: bool = True) -> list[tuple[tuple[str, str,
             if c == "bad" and checked:
                 raise GraphError(message)
             warnings.warn(message, stacklevel=2)
+    twice = kept.where(F.isnull("bad") & F.isnull("ill")).groupBy("hash").count().where("count > 1").select("hash")
+    again = {tuple(r) for r in kept.join(twice, "hash", "left_semi").select("p", "st", "ot").distinct().collect()} if twice.take(1) else set()
     out = []
     for r in found:
         if not r["good"]:
             continue
         mine = kept.where((F.col("p") == r["p"]) & (F.col("st") == r["st"]) & (F.col("ot") == r["ot"]) & F.isnull("bad") & F.isnull("ill"))
         o = F.struct(F.col("o").alias("value"), "lang") if r["ot"] == LANGSTRING else F.col("o") if r["ot"] in (IRI_T, BLANK_T) else parse_lexical(F.col("o"), r["ot"])
-        out.append(((r["p"], r["st"], r["ot"]), mine.select(F.col("s").alias("subject"), o.alias("object"))))
+        key = (r["p"], r["st"], r["ot"])
+        out.append((key, mine.select(F.col("s").alias("subject"), o.alias("object")), r["ot"] in _AS_TEXT and key not in again))
     return out
 
 

@@ -14,8 +14,8 @@ def stream_ntriples(model: Model, folder: str, checkpoint: str, graph: str | Non
     """Files of N-Triples that appear in ``folder``. Blank labels are scoped to the stream."""
 
     def add(batch: DataFrame, _: int) -> None:
-        for (p, st, ot), df in ntriples.split(ntriples.parse(batch, "_s")):
-            model.catalog.insert((graph_name(graph), p, st, ot), df, unlike=ot in ntriples.AS_TEXT)
+        for (p, st, ot), df, unlike in ntriples.split(ntriples.parse(batch, "_s")):
+            model.catalog.insert((graph_name(graph), p, st, ot), df, unlike=unlike)
 
     lines = model.spark.readStream.text(folder)
     return lines.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

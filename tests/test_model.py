@@ -268,5 +268,8 @@ def test_ntriples_lines_are_matched_once_and_texts_are_told_apart_at_reading(spa
     m.read(str(tmp_path / "nt"), "ntriples")
     got = {r["s"]: r["o"] for r in m.query("SELECT ?s ?o WHERE { ?s <http://e/p> ?o }", native=True).collect()}
     assert got == {f"http://e/{i}": t for i, t in enumerate(texts)} and m.size() == 600 + 1 + 3
-    (text,) = [m.catalog.rows(k) for k in m.catalog.entries if k[1] == "http://e/p"]
-    assert "Aggregate" not in text._jdf.queryExecution().executedPlan().toString()  # before, whole texts were shuffled again
+    (tmp_path / "nt" / "b.nt").write_text('<http://e/n> <http://e/l> "b" .\n')
+    m = Model(spark)
+    m.read(str(tmp_path / "nt"), "ntriples")
+    plans = {k[1]: m.catalog.rows(k)._jdf.queryExecution().executedPlan().toString() for k in m.catalog.entries if "string" in k[3]}
+    assert "Exchange" not in plans["http://e/p"] and "Aggregate" in plans["http://e/l"] and m.size() == 600 + 1 + 3  # before, all texts were shuffled
