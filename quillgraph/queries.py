@@ -435,12 +435,13 @@ def ntriples_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ntriples_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts, with all that must be escaped in them, written and read again."""
-    from .scratch import root
+    from .scratch import discard, root
 
     m, folder = model_of(spark, sf_dir, "documents"), f"{root(spark)}/quillgraph/nt-{uuid.uuid4().hex}"
     m.write(folder, "ntriples")
     back = Model(spark)
     back.read(folder, "ntriples")
+    discard(spark, folder)  # what was read is kept in tables
     return back.query(PREFIX + "SELECT ?d ?t ?n WHERE { ?d ex:text ?t ; ex:n_chars ?n }", native=True)
 
 

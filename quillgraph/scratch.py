@@ -24,3 +24,9 @@ def materialise(df: DataFrame) -> DataFrame:
     plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
     plain.write.parquet(path)
     return df.sparkSession.read.schema(plain.schema).parquet(path).toDF(*df.columns)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder that no lazy result reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

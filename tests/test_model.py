@@ -273,3 +273,15 @@ def test_ntriples_lines_are_matched_once_and_texts_are_told_apart_at_reading(spa
     m.read(str(tmp_path / "nt"), "ntriples")
     plans = {k[1]: m.catalog.rows(k)._jdf.queryExecution().executedPlan().toString() for k in m.catalog.entries if "string" in k[3]}
     assert "Exchange" not in plans["http://e/p"] and "Aggregate" in plans["http://e/l"] and m.size() == 600 + 1 + 3  # before, all texts were shuffled
+
+
+def test_written_documents_leave_no_text_behind(spark):
+    from pathlib import Path
+
+    from quillgraph.queries import ntriples_documents
+    from quillgraph.scratch import root
+
+    out = ntriples_documents(spark, "/root/testdata/sf0.001")
+    assert not list((Path(root(spark).removeprefix("file://")) / "quillgraph").glob("nt-*/*.txt"))
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    assert sorted(map(tuple, out.collect())) == sorted((f"http://example.org/doc/{r['doc_id']}", r["text"], r["n_chars"]) for r in table)
